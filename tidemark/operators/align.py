@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col, no_nulls
-from tidemark.operators.blocks import running
+from tidemark.operators.blocks import running, split_points
 
 
 def asof_join(
@@ -41,18 +41,21 @@ def asof_join(
         F.struct(*[col(c) for c in left.columns]).alias("_left"),
     )
     taken = F.struct(*[col(c) for c in take])
-    # One candidate per moment is enough, and this much is combined before the shuffle.
-    candidates = (
-        right.filter(no_nulls([right_on, *by]))
-        .groupBy(*named_keys, col(right_on).alias("_at"))
-        .agg(F.max_by(taken, F.struct(*[col(t) for t in tie], taken)).alias("_right"))
-        .withColumn("_side", F.lit(0))
+    candidates = right.filter(no_nulls([right_on, *by])).select(
+        *named_keys,
+        col(right_on).alias("_at"),
+        F.lit(0).alias("_side"),
+        # The constant keeps the struct usable as a sort key when there is no tie column.
+        F.struct(F.lit(0).alias("_none"), *[col(t) for t in tie], taken.alias("_taken")).alias("_tie"),
+        taken.alias("_right"),
     )
+    order = ["_at", "_side", "_tie", "_spread"]
     stream = candidates.unionByName(probes, allowMissingColumns=True)
-    matched = running(
-        stream, keys, ["_at", "_side", "_spread"], {"_match": ("last", F.col("_right"))},
-        rows_per_block=rows_per_block,
-    )
+    splits = split_points(stream, keys, order, rows_per_block)
+    if not splits.isEmpty():
+        # With a heavy key about, copies of one right row must not pile up in one block.
+        stream = candidates.distinct().unionByName(probes, allowMissingColumns=True)
+    matched = running(stream, keys, order, {"_match": ("last", F.col("_right"))}, splits=splits)
     return matched.filter(F.col("_side") == 1).select(
         *[F.col("_left").getField(c).alias(c) for c in left.columns],
         *[F.col("_match").getField(c).alias(c) for c in take],

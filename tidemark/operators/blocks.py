@@ -126,6 +126,7 @@ def running(
     exclusive: bool = False,
     group_size: str | None = None,
     rows_per_block: int | None = None,
+    splits: DataFrame | None = None,
 ) -> DataFrame:
     """Add running aggregates of each key's rows in ascending ``order``.
 
@@ -140,6 +141,7 @@ def running(
         exclusive: leave the row itself out.
         group_size: also add the number of rows of the key, under this name.
         rows_per_block: about how many rows of a heavy key go to one task.
+        splits: cut points from ``split_points``, if the caller already has them.
     """
     if not keys:
         whole = df.withColumn(_EVERYTHING, F.lit(0))
@@ -163,7 +165,8 @@ def running(
             columns[size] = F.count(F.lit(1)).over(group)
         return source.withColumns(columns)
 
-    splits = split_points(df, keys, order, rows_per_block)
+    if splits is None:
+        splits = split_points(df, keys, order, rows_per_block)
     if splits.isEmpty():
         return windowed(df, key_cols, "", group_size)
 
