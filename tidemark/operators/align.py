@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col, no_nulls
-from tidemark.operators.blocks import running, split_points
+from tidemark.operators.blocks import heavy_splits, running
 
 
 def asof_join(
@@ -51,8 +51,8 @@ def asof_join(
     )
     order = ["_at", "_side", "_tie", "_spread"]
     stream = candidates.unionByName(probes, allowMissingColumns=True)
-    splits = split_points(stream, keys, order, rows_per_block)
-    if not splits.isEmpty():
+    splits = heavy_splits(stream, keys, order, rows_per_block)
+    if splits is not None:
         # With a heavy key about, copies of one right row must not pile up in one block.
         stream = candidates.distinct().unionByName(probes, allowMissingColumns=True)
     matched = running(stream, keys, order, {"_match": ("last", F.col("_right"))}, splits=splits)

@@ -30,6 +30,7 @@ MAX_CUTS_PER_KEY = 1_000
 _MIN_CUTS = 2
 
 _EVERYTHING = "_everything"
+_LOOK = "look"
 
 
 def split_points(
@@ -65,6 +66,17 @@ def split_points(
     )
 
 
+def heavy_splits(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows_per_block: int | None = None,
+) -> DataFrame | None:
+    """``split_points``, or None when no key is heavy. Runs one job over keys and order."""
+    splits = split_points(df, keys, order, rows_per_block)
+    return None if splits.isEmpty() else splits
+
+
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on ``keys`` where null equals null; the right side is bounded and is broadcast."""
     renamed = {k: f"_right_{i}" for i, k in enumerate(keys)}
@@ -76,6 +88,23 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
 
 
+def join_per_key(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], splits: DataFrame | None
+) -> DataFrame:
+    """Inner join to a table with one row per key; the heavy keys' rows of it are broadcast.
+
+    ``splits`` is what ``heavy_splits`` said of ``left``. The rows of heavy keys are not shuffled
+    by key, and what is broadcast for them is at most one row per heavy key.
+    """
+    if splits is None:
+        return left.join(right, list(keys))
+    heavy = splits.drop("_cuts")
+    light = match_keys(left, heavy, keys, "left_anti").join(right, list(keys))
+    hot_rows = match_keys(right, heavy, keys, "left_semi")
+    hot = match_keys(left, heavy, keys, "left_semi").join(F.broadcast(hot_rows), list(keys))
+    return light.unionByName(hot)
+
+
 def _with_block(
     df: DataFrame, splits: DataFrame, keys: Sequence[str], order: Sequence[str], how: str
 ) -> DataFrame:
@@ -126,7 +155,7 @@ def running(
     exclusive: bool = False,
     group_size: str | None = None,
     rows_per_block: int | None = None,
-    splits: DataFrame | None = None,
+    splits: DataFrame | None | str = _LOOK,
 ) -> DataFrame:
     """Add running aggregates of each key's rows in ascending ``order``.
 
@@ -141,7 +170,7 @@ def running(
         exclusive: leave the row itself out.
         group_size: also add the number of rows of the key, under this name.
         rows_per_block: about how many rows of a heavy key go to one task.
-        splits: cut points from ``split_points``, if the caller already has them.
+        splits: what ``heavy_splits`` said, if the caller has asked already.
     """
     if not keys:
         whole = df.withColumn(_EVERYTHING, F.lit(0))
@@ -165,9 +194,9 @@ def running(
             columns[size] = F.count(F.lit(1)).over(group)
         return source.withColumns(columns)
 
+    if splits is _LOOK:
+        splits = heavy_splits(df, keys, order, rows_per_block)
     if splits is None:
-        splits = split_points(df, keys, order, rows_per_block)
-    if splits.isEmpty():
         return windowed(df, key_cols, "", group_size)
 
     # Within the block: the usual window, on its own shuffle by (key, block).
@@ -221,10 +250,11 @@ def number_rows(
     *,
     group_size: str | None = None,
     rows_per_block: int | None = None,
+    splits: DataFrame | None | str = _LOOK,
 ) -> DataFrame:
     """Number each key's rows from zero; ``order`` must be a total order."""
     numbered = running(
         df, keys, order, {name: ("count", F.lit(1))},
-        group_size=group_size, rows_per_block=rows_per_block,
+        group_size=group_size, rows_per_block=rows_per_block, splits=splits,
     )
     return numbered.withColumn(name, col(name) - 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col, duration_micros, floor_div, micros
-from tidemark.operators.blocks import match_keys, merge, running, split_points
+from tidemark.operators.blocks import heavy_splits, match_keys, merge, running
 
 
 def trailing(
@@ -40,9 +40,10 @@ def trailing(
     ranged = {
         name: getattr(F, kind)(value).over(frame) for name, (kind, value) in aggregates.items()
     }
-    heavy = split_points(timed, keys, ["_us"], rows_per_block).drop("_cuts")
-    if heavy.isEmpty():
+    splits = heavy_splits(timed, keys, ["_us"], rows_per_block)
+    if splits is None:
         return timed.withColumns(ranged).drop("_us")
+    heavy = splits.drop("_cuts")
 
     ordinary = match_keys(timed, heavy, keys, "left_anti").withColumns(ranged)
 
