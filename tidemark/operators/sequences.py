@@ -11,7 +11,7 @@ from tidemark.functions import fixed_values as fixed
 from tidemark.functions.expressions import days_between, floor_div, next_power_of_two, z_score
 from tidemark.operators.align import asof_join
 from tidemark.operators.blocks import heavy_splits, join_per_key, number_rows, running
-from tidemark.session import small_side
+from tidemark.session import cut_lineage, small_side
 
 
 def birth_times(events: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def chunk_timelines(
         .withColumn("_chunks", _chunk_count(F.col("_n"), length, stride))
     )
     subjects = running(
-        subjects, [], ["subject_id"], {"_base": ("sum", F.col("_chunks"))},
+        cut_lineage(subjects), [], ["subject_id"], {"_base": ("sum", F.col("_chunks"))},
         exclusive=True, rows_per_block=rows_per_block,
     ).select("subject_id", "birth", "_chunks", F.coalesce("_base", F.lit(0)).alias("_base"))
 

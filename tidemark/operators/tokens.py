@@ -9,9 +9,6 @@ from tidemark.functions.expressions import count_at_or_below
 from tidemark.operators.concepts import Vocabulary
 from tidemark.session import small_side
 
-# Bins of one code; more would have to come from a vocabulary of more than this many entries.
-MAX_BINS_PER_CODE = 1 << 20
-
 
 def code_lookup(vocabulary: Vocabulary) -> DataFrame:
     """One row per code: its bare index and its bins as two parallel arrays, sorted by start."""
@@ -33,13 +30,15 @@ def leaf_tokens(events: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     A value belongs to the last bin of its code starting at or below it. Events no token names
     are dropped. Both lookups are no larger than the vocabulary, so events are not shuffled.
     """
+    lookup = code_lookup(vocabulary)
+    most_bins = lookup.agg(F.max(F.size("_starts"))).first()[0] or 1
     value = F.col("numeric_value").cast("double")
-    bin_number = count_at_or_below(F.col("_starts"), value, MAX_BINS_PER_CODE)
+    bin_number = count_at_or_below(F.col("_starts"), value, most_bins)
     texts = vocabulary.texts.select(
         "code", F.col("text").alias("text_value"), F.col("index").alias("_text_index")
     )
     return (
-        events.join(small_side(code_lookup(vocabulary)), "code", "left")
+        events.join(small_side(lookup), "code", "left")
         .join(small_side(texts), ["code", "text_value"], "left")
         .withColumn(
             "index",
