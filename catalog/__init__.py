@@ -1,2 +1,2 @@
-from catalog import scoring, temporal  # noqa
+from catalog import cohort, concept_maps, profiling, scoring, temporal  # noqa: F401
 from catalog.base import ORACLES, QUERIES

@@ -187,9 +187,9 @@ windowed AS (
                RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW)),
 urine_rate AS (
   SELECT subject_id AS patient_id, hadm_id, stay_id, charttime, n_events,
-         date_diff('second', started, charttime) / 3600.0 AS window_hours,
+         date_sub('second', started, charttime) / 3600.0 AS window_hours,
          CASE WHEN charttime > started
-              THEN total / weight / (date_diff('second', started, charttime) / 3600.0) END AS rate
+              THEN total / weight / (date_sub('second', started, charttime) / 3600.0) END AS rate
   FROM windowed)
 """
 
@@ -304,7 +304,7 @@ grid AS (
                      least(dischtime, diagtime) - INTERVAL 1 MICROSECOND, INTERVAL 12 HOURS)) AS prediction_time
   FROM eligible e),
 labelled AS (
-  SELECT *, date_diff('second', prediction_time, horizon_time) AS _s,
+  SELECT *, date_sub('second', prediction_time, horizon_time) AS _s,
          coalesce(diagtime <= horizon_time, false) AS boolean_value
   FROM (SELECT *, least(prediction_time + INTERVAL 48 HOURS, dischtime) AS horizon_time FROM grid))
 """

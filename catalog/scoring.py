@@ -88,9 +88,10 @@ def evaluable_union(spark, sf_dir):
 
 @query("orphans", """
 SELECT DISTINCT c_custkey AS custkey FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
 """)
 def orphans(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"))
+    pending = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    orders = pending.select(F.col("o_custkey").alias("custkey"))
     return scoring.orphans(customers, orders, key="custkey")

@@ -39,36 +39,53 @@ class NumericSummary(NamedTuple):
     unit: str | None
 
 
-def exact_quantiles(df: DataFrame, field: str, shares: Sequence[float]) -> DataFrame:
-    """One row of linearly interpolated quantiles, columns ``q0``, ``q1``, ...
+def exact_quantiles(
+    df: DataFrame,
+    field: str,
+    shares: Sequence[float],
+    by: Sequence[str] = (),
+    rows_per_block: int | None = None,
+) -> DataFrame:
+    """Linearly interpolated quantiles ``q0``, ``q1``, ... per group, or one row without groups.
 
     Values are counted first, then ranked by a running sum that splits over tasks, so neither the
-    rows nor the distinct values have to fit anywhere.
+    rows of a group nor its distinct values have to fit anywhere.
     """
+    groups = [col(g) for g in by]
     counted = (
-        df.select(col(field).cast("double").alias("_v"))
+        df.select(*groups, col(field).cast("double").alias("_v"))
         .filter(F.col("_v").isNotNull())
-        .groupBy("_v")
+        .groupBy(*groups, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running(counted, [], ["_v"], {"_upto": ("sum", F.col("_n"))})
-    last_rank = counted.agg(F.sum("_n") - 1).scalar()
+    ranked = running(
+        counted, by, ["_v"], {"_upto": ("sum", F.col("_n"))}, rows_per_block=rows_per_block
+    )
+    # Every value with the last rank of its group; ranks count from zero.
+    if by:
+        last = counted.groupBy(*groups).agg((F.sum("_n") - 1).alias("_last"))
+        renamed = {g: f"_group_{i}" for i, g in enumerate(by)}
+        same = F.lit(True)
+        for name, other in renamed.items():
+            same = same & col(name).eqNullSafe(F.col(other))
+        ranked = ranked.join(last.withColumnsRenamed(renamed), same)
+    else:
+        ranked = ranked.withColumn("_last", counted.agg(F.sum("_n") - 1).scalar())
 
     def value_at(rank):
         return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
 
-    picks = []
+    picks, results = [], []
     for i, share in enumerate(shares):
-        place = last_rank * F.lit(float(share))
+        place = F.col("_last") * F.lit(float(share))
         picks += [
             value_at(F.floor(place)).alias(f"_low{i}"),
             value_at(F.ceil(place)).alias(f"_high{i}"),
-            (place - F.floor(place)).alias(f"_part{i}"),
+            F.max(place - F.floor(place)).alias(f"_part{i}"),
         ]
-    low, high, part = (lambda i: F.col(f"_low{i}")), (lambda i: F.col(f"_high{i}")), (lambda i: F.col(f"_part{i}"))
-    return ranked.agg(*picks).select(
-        *[(low(i) + (high(i) - low(i)) * part(i)).alias(f"q{i}") for i in range(len(shares))]
-    )
+        low, high, part = F.col(f"_low{i}"), F.col(f"_high{i}"), F.col(f"_part{i}")
+        results.append((low + (high - low) * part).alias(f"q{i}"))
+    return ranked.groupBy(*groups).agg(*picks).select(*groups, *results)
 
 
 def value_shares(df: DataFrame, field: str) -> DataFrame:
