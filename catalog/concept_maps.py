@@ -235,13 +235,13 @@ def immediate_parents(spark, sf_dir):
 @query("nearest_ancestor", _recursive(_ONTOLOGY, "wanted AS (SELECT DISTINCT code AS target FROM closure)", _CLIMB)
        + "SELECT target, vocab_code, hops, weights FROM climbed")
 def nearest_ancestor(spark, sf_dir):
-    known = closure(spark, sf_dir)
+    known = cut_lineage(closure(spark, sf_dir))
     return concepts.climb(known.select(F.col("code").alias("target")), tokens(spark, sf_dir), known)
 
 
 def concept_map(spark, sf_dir):
     return concepts.build_concept_map(
-        concepts.code_inventory(order_events(spark, sf_dir)), tokens(spark, sf_dir), closure(spark, sf_dir),
+        concepts.code_inventory(order_events(spark, sf_dir)), tokens(spark, sf_dir), cut_lineage(closure(spark, sf_dir)),
         metadata(spark, sf_dir), concept_table(spark, sf_dir), relationship_table(spark, sf_dir),
         curated(spark, sf_dir),
     )

@@ -194,9 +194,9 @@ def restrict_to_labelled(spark, sf_dir):
     return kept.select("subject_id", "ordinal", "code")
 
 
-def chunked(spark, sf_dir, rows_per_block=None):
+def chunked(spark, sf_dir, rows_per_block=None, words=None):
     coded = coded_events(spark, sf_dir)
-    found = tokens.leaf_tokens(coded, vocabulary(spark, sf_dir))
+    found = tokens.leaf_tokens(coded, words or vocabulary(spark, sf_dir))
     return sequences.chunk_timelines(
         found, sequences.birth_times(coded), length=LENGTH, stride=STRIDE, age_mean=AGE_MEAN,
         age_std=AGE_STD, ordinal="ordinal", rows_per_block=rows_per_block,
@@ -231,13 +231,15 @@ def chunk_timeline_split(spark, sf_dir):
 
 @query("place_labels", with_sql(CODED, DIAGNOSED, GRID, VOCABULARY, LEAVES, CHUNKS) + "SELECT * FROM on_sequences")
 def place_labels(spark, sf_dir):
-    return sequences.place_landmarks(cut_lineage(chunked(spark, sf_dir)), labels(spark, sf_dir))
+    cells = cut_lineage(chunked(spark, sf_dir))
+    return sequences.place_landmarks(cells, cut_lineage(labels(spark, sf_dir)))
 
 
 def packed(spark, sf_dir):
-    cells = cut_lineage(chunked(spark, sf_dir))
-    placed = cut_lineage(sequences.place_landmarks(cells, labels(spark, sf_dir)))
-    expansion = cut_lineage(tokens.ancestor_expansion(vocabulary(spark, sf_dir), closure(spark, sf_dir)))
+    words = vocabulary(spark, sf_dir)
+    cells = cut_lineage(chunked(spark, sf_dir, words=words))
+    placed = cut_lineage(sequences.place_landmarks(cells, cut_lineage(labels(spark, sf_dir))))
+    expansion = cut_lineage(tokens.ancestor_expansion(words, closure(spark, sf_dir)))
     return sequences.pack_batches(cells, placed, expansion, _BATCH)
 
 

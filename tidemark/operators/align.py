@@ -21,12 +21,14 @@ def asof_join(
     right_on: str | None = None,
     tie: Sequence[str] = (),
     rows_per_block: int | None = None,
+    may_be_heavy: bool = True,
 ) -> DataFrame:
     """Add to each left row the ``take`` columns of the last right row at or before it.
 
     Both frames go through one shuffle as a single tagged stream; a running "last right row"
     does the matching. A matched row wins even if its values are null. Among right rows at one
-    time the largest ``tie`` wins, then the largest ``take`` values. Left rows without a match keep nulls.
+    time the largest ``tie`` wins, then the largest ``take`` values. Left rows without a match keep nulls. ``may_be_heavy=False`` is the caller's word
+    that no key is too large for one task, and spares the look.
     """
     right_on = right_on or on
     keys = [f"_key_{i}" for i in range(len(by))]
@@ -51,7 +53,7 @@ def asof_join(
     )
     order = ["_at", "_side", "_tie", "_spread"]
     stream = candidates.unionByName(probes, allowMissingColumns=True)
-    splits = heavy_splits(stream, keys, order, rows_per_block)
+    splits = heavy_splits(stream, keys, order, rows_per_block) if may_be_heavy else None
     if splits is not None:
         # With a heavy key about, copies of one right row must not pile up in one block.
         stream = candidates.distinct().unionByName(probes, allowMissingColumns=True)
@@ -69,11 +71,12 @@ def backfill(
     by: Sequence[str],
     order: Sequence[str],
     rows_per_block: int | None = None,
+    may_be_heavy: bool = True,
 ) -> DataFrame:
     """Fill each null of ``value`` from the next row of the group that has one."""
-    return running(
-        df, by, order, {value: ("last", col(value))}, reverse=True, rows_per_block=rows_per_block
-    ).select(*[col(c) for c in df.columns])
+    splits = heavy_splits(df, by, order, rows_per_block) if may_be_heavy else None
+    filled = running(df, by, order, {value: ("last", col(value))}, reverse=True, splits=splits)
+    return filled.select(*[col(c) for c in df.columns])
 
 
 def asof_backfill(
@@ -86,11 +89,9 @@ def asof_backfill(
     tie: Sequence[str] = (),
     left_tie: Sequence[str] = (),
     rows_per_block: int | None = None,
+    may_be_heavy: bool = True,
 ) -> DataFrame:
     """As-of join, then give rows before the first match the next matched value of the group."""
-    matched = asof_join(
-        left, right, on=on, by=by, take=[value], tie=tie, rows_per_block=rows_per_block
-    )
-    return backfill(
-        matched, value, by=by, order=[on, *left_tie], rows_per_block=rows_per_block
-    )
+    options = {"rows_per_block": rows_per_block, "may_be_heavy": may_be_heavy}
+    matched = asof_join(left, right, on=on, by=by, take=[value], tie=tie, **options)
+    return backfill(matched, value, by=by, order=[on, *left_tie], **options)

@@ -160,13 +160,14 @@ def immediate_parents(closure: DataFrame, codes: DataFrame | None = None) -> Dat
     An ancestor is a parent unless it is also an ancestor of another of the code's ancestors.
     With ``codes``, only their edges are worked out.
     """
-    proper = closure.filter(F.col("code") != F.col("ancestor")).select("code", "ancestor").distinct()
+    proper = closure.filter(F.col("code") != F.col("ancestor")).select("code", "ancestor")
     of = proper if codes is None else proper.join(codes.select("code"), "code", "left_semi")
     beyond = proper.select(F.col("code").alias("ancestor"), F.col("ancestor").alias("_beyond"))
     reached = (
         of.join(beyond, "ancestor").select("code", F.col("_beyond").alias("ancestor")).distinct()
     )
-    return of.join(reached, ["code", "ancestor"], "left_anti").withColumnRenamed("ancestor", "parent")
+    direct = of.join(reached, ["code", "ancestor"], "left_anti").distinct()
+    return direct.withColumnRenamed("ancestor", "parent")
 
 
 def climb(targets: DataFrame, tokens: DataFrame, closure: DataFrame) -> DataFrame:
@@ -179,7 +180,12 @@ def climb(targets: DataFrame, tokens: DataFrame, closure: DataFrame) -> DataFram
     """
     wanted = targets.select(F.col("target").alias("code")).filter(F.col("code").isNotNull()).distinct()
     above = closure.join(wanted, "code", "left_semi").select(F.col("ancestor").alias("code"))
-    relevant = cut_lineage(wanted.unionByName(above).distinct())
+    relevant = cut_lineage(
+        wanted.withColumn("_wanted", F.lit(True))
+        .unionByName(above.withColumn("_wanted", F.lit(False)))
+        .groupBy("code")
+        .agg(F.max("_wanted").alias("_wanted"))
+    )
     settled = cut_lineage(
         tokens.join(relevant, "code", "left_semi").select(
             "code",
@@ -207,7 +213,7 @@ def climb(targets: DataFrame, tokens: DataFrame, closure: DataFrame) -> DataFram
         if level.isEmpty():
             break
         settled = settled.unionByName(level)
-    return settled.join(wanted, "code", "left_semi").withColumnRenamed("code", "target")
+    return settled.join(relevant.filter("_wanted"), "code", "left_semi").withColumnRenamed("code", "target")
 
 
 def best_targets(resolved: DataFrame, climbed: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col, duration_micros, floor_div, micros
 from tidemark.operators.blocks import heavy_splits, match_keys, merge, running
+from tidemark.session import cut_lineage
 
 
 def trailing(
@@ -20,6 +21,7 @@ def trailing(
     *,
     closed: str = "right",
     rows_per_block: int | None = None,
+    may_be_heavy: bool = True,
 ) -> DataFrame:
     """Add aggregates over ``(t - width, t]`` (closed right) or ``[t - width, t]`` (closed both).
 
@@ -40,7 +42,7 @@ def trailing(
     ranged = {
         name: getattr(F, kind)(value).over(frame) for name, (kind, value) in aggregates.items()
     }
-    splits = heavy_splits(timed, keys, ["_us"], rows_per_block)
+    splits = heavy_splits(timed, keys, ["_us"], rows_per_block) if may_be_heavy else None
     if splits is None:
         return timed.withColumns(ranged).drop("_us")
     heavy = splits.drop("_cuts")
@@ -63,18 +65,19 @@ def _at_each_moment(
     """The aggregates once per (key, ``_us``), computed without a task per key."""
     key_cols = [col(k) for k in keys]
     in_slot = [*keys, "_slot"]
-    # Rows of one moment collapse before the shuffle, however many there are.
-    moments = (
+    # Rows of one moment collapse before the shuffle, however many there are. What is left of the
+    # heavy keys is read several times below.
+    moments = cut_lineage(
         timed.withColumn("_slot", floor_div(F.col("_us"), span))
         .groupBy(*key_cols, "_slot", "_us")
         .agg(*[getattr(F, kind)(value).alias(f"_value_{n}") for n, (kind, value) in aggregates.items()])
     )
     kinds = {n: "sum" if kind == "count" else kind for n, (kind, _) in aggregates.items()}
-    own_slot = running(
+    own_slot = cut_lineage(running(
         moments, in_slot, ["_us"],
         {f"_own_{n}": (kind, F.col(f"_value_{n}")) for n, kind in kinds.items()},
         rows_per_block=rows_per_block,
-    )
+    ))
     # Walking backwards, a probe placed at t - width has met exactly the moments after it. At
     # equal time the side decides whether the moment on the edge is met first.
     data_side, probe_side = (0, 1) if closed == "right" else (1, 0)

@@ -9,8 +9,10 @@ from tidemark.functions import fixed_values as fixed
 from tidemark.functions.expressions import col, duration, hours_between
 from tidemark.operators import scoring
 from tidemark.operators.align import asof_backfill
+from tidemark.operators.blocks import heavy_splits
 from tidemark.operators.clean import net_urine, weights_in_kilograms
 from tidemark.operators.rolling import trailing
+from tidemark.session import cut_lineage
 
 
 def urine_rate(
@@ -22,14 +24,20 @@ def urine_rate(
     urine row got. The span is the observed one: a window holding a single moment has no rate,
     and neither has a row without weight. A rate may be negative.
     """
+    weighings = weights.select("subject_id", "hadm_id", "charttime", col("valuenum").alias("weight"))
+    # One look at the admissions serves all three steps, since a stay lies within an admission.
+    admission = ["subject_id", "hadm_id"]
+    moments = urine.select(*admission, "charttime").unionByName(weighings.select(*admission, "charttime"))
+    crowded = heavy_splits(moments, admission, ["charttime"], rows_per_block) is not None
     weighed = asof_backfill(
         urine,
-        weights.select("subject_id", "hadm_id", "charttime", col("valuenum").alias("weight")),
+        weighings,
         on="charttime",
-        by=["subject_id", "hadm_id"],
+        by=admission,
         value="weight",
         left_tie=["stay_id"],
         rows_per_block=rows_per_block,
+        may_be_heavy=crowded,
     )
     windowed = trailing(
         weighed,
@@ -43,6 +51,7 @@ def urine_rate(
         },
         closed="both",
         rows_per_block=rows_per_block,
+        may_be_heavy=crowded,
     ).withColumn("window_hours", hours_between("_start", "charttime"))
     per_hour = F.try_divide(F.try_divide(F.col("_volume"), F.col("weight")), F.col("window_hours"))
     return windowed.select(
@@ -188,7 +197,9 @@ def with_diagnoses(events: DataFrame, diagnoses: DataFrame) -> DataFrame:
 def validate_detector(events: DataFrame, rate: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confusion matrix and metrics of the ungated detector against the billing codes."""
     assigned = events.filter(F.col("hadm_id").isNotNull())
-    evaluable = scoring.evaluable_admissions(assigned, rate)
+    # Both are read by the guard and by the matrix.
+    rate = cut_lineage(rate)
+    evaluable = cut_lineage(scoring.evaluable_admissions(assigned, rate))
     scoring.require_same_population(evaluable, assigned)
     matrix = scoring.confusion_matrix(
         detect_onset(assigned, rate).select("hadm_id"),
