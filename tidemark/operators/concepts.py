@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
-from tidemark.session import cut_lineage, small_side
+from tidemark.session import cut_lineage, is_small, small_side
 
 _RESOLVED = ("code", "target", "method")
 
@@ -83,7 +83,7 @@ def curated_mapping(spark: SparkSession, families: Mapping[str, Mapping[str, str
 
 def resolve_direct(codes: DataFrame, tokens: DataFrame) -> DataFrame:
     """Codes that are tokens already."""
-    return codes.join(small_side(tokens.select("code")), "code", "left_semi").select(
+    return codes.join(tokens.select("code").distinct(), "code").select(
         "code", F.col("code").alias("target"), F.lit("direct").alias("method")
     )
 
@@ -113,7 +113,7 @@ def resolve_bridge(codes: DataFrame, concept: DataFrame, relationship: DataFrame
     )
     targets = named.select(F.col("concept_id").alias("target_id"), F.col("code").alias("target"))
     return (
-        small_side(codes.select("code"))
+        codes.select("code")
         .join(named, "code")
         .join(edges, "concept_id")
         .join(targets, "target_id")
@@ -123,11 +123,8 @@ def resolve_bridge(codes: DataFrame, concept: DataFrame, relationship: DataFrame
 
 def resolve_curated(codes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Codes the curated mapping names."""
-    return (
-        codes.select("code")
-        .join(small_side(mapping.select("code", "target")), "code")
-        .withColumn("method", F.lit("manual"))
-    )
+    found = codes.select("code").join(mapping.select("code", "target"), "code")
+    return found.withColumn("method", F.lit("manual"))
 
 
 def resolve_chain(
@@ -138,7 +135,11 @@ def resolve_chain(
     relationship: DataFrame,
     mapping: DataFrame,
 ) -> DataFrame:
-    """All four resolvers, each seeing only the codes the earlier ones could not place."""
+    """All four resolvers, each seeing only the codes the earlier ones could not place.
+
+    ``codes`` has each code once. If they are few, as codes tend to be, they are what every join
+    broadcasts, and the large vocabulary tables are not shuffled.
+    """
     layers = (
         lambda left: resolve_direct(left, tokens),
         lambda left: resolve_crosswalk(left, metadata),
@@ -146,11 +147,13 @@ def resolve_chain(
         lambda left: resolve_curated(left, mapping),
     )
     remaining = codes.filter(F.col("code").isNotNull()).select("code")
+    few = is_small(remaining)
     placed = None
     for layer in layers:
-        found = layer(remaining).select(*_RESOLVED)
+        # Kept, so that the next layers do not search the vocabulary tables again.
+        found = cut_lineage(layer(F.broadcast(remaining) if few else remaining).select(*_RESOLVED))
         placed = found if placed is None else placed.unionByName(found)
-        remaining = remaining.join(found.select("code"), "code", "left_anti")
+        remaining = remaining.join(found.select("code").distinct(), "code", "left_anti")
     return placed
 
 
@@ -246,9 +249,7 @@ def build_concept_map(
     """One row per code that reaches a token, from the inventory to the nearest token."""
     # One row per distinct code: small, and read by every layer below.
     inventory = cut_lineage(inventory)
-    resolved = cut_lineage(
-        resolve_chain(inventory, tokens, metadata, concept, relationship, mapping)
-    )
+    resolved = resolve_chain(inventory, tokens, metadata, concept, relationship, mapping)
     return best_targets(resolved, climb(resolved, tokens, closure), inventory)
 
 

@@ -104,9 +104,10 @@ def equal_width_histogram(df: DataFrame, field: str, bins: int = 30) -> DataFram
     together are one unit wide.
     """
     values = df.select(col(field).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    flat = F.min("_v") == F.max("_v")
-    low = values.agg(F.when(flat, F.min("_v") - 0.5).otherwise(F.min("_v"))).scalar()
-    span = values.agg(F.when(flat, F.lit(1.0)).otherwise(F.max("_v") - F.min("_v"))).scalar()
+    ends = values.agg(F.struct(F.min("_v").alias("low"), F.max("_v").alias("high"))).scalar()
+    flat = ends.getField("low") == ends.getField("high")
+    low = F.when(flat, ends.getField("low") - 0.5).otherwise(ends.getField("low"))
+    span = F.when(flat, F.lit(1.0)).otherwise(ends.getField("high") - ends.getField("low"))
     place = F.ceil((F.col("_v") - low) / (span / bins))
     counts = (
         values.select(F.least(F.lit(bins), F.greatest(F.lit(1), place)).cast("bigint").alias("bin"))
@@ -137,16 +138,16 @@ def describe_numbers(df: DataFrame, field: str) -> DataFrame:
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    quartiles = exact_quantiles(df, field, [0.25, 0.5, 0.75])
+    quartiles = exact_quantiles(df, field, [0.25, 0.5, 0.75]).select(F.struct("q0", "q1", "q2")).scalar()
     return basic.select(
         "count",
         "null_count",
         "mean",
         "std",
         "min",
-        quartiles.select("q0").scalar().alias("p25"),
-        quartiles.select("q1").scalar().alias("p50"),
-        quartiles.select("q2").scalar().alias("p75"),
+        quartiles.getField("q0").alias("p25"),
+        quartiles.getField("q1").alias("p50"),
+        quartiles.getField("q2").alias("p75"),
         "max",
     )
 

@@ -76,6 +76,10 @@ def expand_tokens(events: DataFrame, expansion: DataFrame, position: str = "posi
     return events.join(small_side(expansion), "index").select("token", position)
 
 
+# A table of embeddings is broadcast up to this many numbers.
+_BROADCAST_NUMBERS = 100_000_000
+
+
 def sum_embeddings(
     pairs: DataFrame,
     table: DataFrame,
@@ -96,7 +100,7 @@ def sum_embeddings(
         positions: if given, the positions wanted; those without pairs get zeros.
     """
     sums = (
-        pairs.join(small_side(table.select("token", "embedding")), "token")
+        pairs.join(small_side(table.select("token", "embedding"), _BROADCAST_NUMBERS // dims), "token")
         .groupBy(position)
         .agg(*[F.sum(F.get("embedding", F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(dims)])
         .select(position, F.array(*[f"_d{i}" for i in range(dims)]).alias("vector"))

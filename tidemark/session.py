@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup is sent to every executor only after it is known to hold no more rows than this.
-BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_ROW_LIMIT = 1_000_000
 
 
 def build_session(app_name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,10 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
+    """Whether ``df`` has at most ``limit`` rows, counting no more than one row beyond."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def small_side(lookup: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Mark ``lookup`` for broadcast if it really is small, else leave the join to Spark.
 
-    The check counts at most ``limit + 1`` rows. A larger lookup keeps its plain form and is
-    joined by sort-merge, where adaptive execution splits the skewed partitions.
+    A larger lookup keeps its plain form and is joined by sort-merge, where adaptive execution
+    splits skewed partitions.
     """
-    return F.broadcast(lookup) if lookup.limit(limit + 1).count() <= limit else lookup
+    return F.broadcast(lookup) if is_small(lookup, limit) else lookup
