@@ -1,0 +1,123 @@
+"""Cleaning, casting and describing raw columns."""
+
+import datetime as dt
+
+import pytest
+
+from tests.conftest import hours, rows_of
+from tidemark.operators import clean
+
+CAST_CASES = [
+    ("UInt", ["1", "2", None, "65535"], [1, 2, None, 65535]),
+    ("Date", ["2025-01-01", None], [dt.date(2025, 1, 1), None]),
+    ("DateTime", ["2025-01-01 12:15:00", None], [dt.datetime(2025, 1, 1, 12, 15), None]),
+    ("Boolean", ["1", "0", None], [True, False, None]),
+    ("Float", ["1.5", "2", None], [1.5, 2.0, None]),
+    ("String", ["a", None], ["a", None]),
+]
+
+
+@pytest.mark.parametrize("kind,texts,want", CAST_CASES)
+def test_cast(spark, kind, texts, want):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, c string")
+    got = clean.cast_columns(df, {"c": kind}).orderBy("i").collect()
+    assert [r["c"] for r in got] == want
+
+
+@pytest.mark.parametrize("kind,text", [
+    ("UInt", "abc"), ("UInt", "2.5"), ("UInt", "-1"), ("UInt", "-1.0"), ("UInt", "70000"),
+    ("Date", "2025-42-99"), ("DateTime", "2025-01-01"), ("Float", "x"), ("Boolean", "maybe"),
+])
+def test_cast_rejects_values(spark, kind, text):
+    with pytest.raises(Exception, match=f"c is not a {kind}"):
+        clean.cast_columns(spark.createDataFrame([(text,)], "c string"), {"c": kind}).collect()
+
+
+def test_cast_refuses_bad_declarations(spark):
+    df = spark.createDataFrame([("1",)], "c string")
+    with pytest.raises(ValueError):
+        clean.cast_columns(df, {})
+    with pytest.raises(ValueError):
+        clean.cast_columns(df, {"d": "UInt"})
+    with pytest.raises(KeyError):
+        clean.cast_columns(df, {"c": "Decimal"})
+    with pytest.raises(ValueError):
+        clean.cast_columns(df.select(), {"c": "UInt"})
+
+
+def test_clean_numbers_refuses_other_types(spark):
+    with pytest.raises(TypeError):
+        clean.clean_numbers(spark.createDataFrame([(1.0,)], "c double"), ["c"])
+
+
+def test_slice_keeps_own_columns(spark):
+    df = spark.createDataFrame(
+        [("p", "a", hours(0), "1", None), ("p", "ab", hours(1), None, "2")],
+        "patient_id string, event_type string, timestamp timestamp_ntz, `a/x` string, `ab/x` string",
+    )
+    sliced = clean.slice_event_type(df, "a")
+    assert sliced.columns == ["patient_id", "event_type", "timestamp", "a/x"]
+    assert sliced.count() == 1
+
+
+def test_describe_coded(spark):
+    df = spark.createDataFrame([("9", "1"), ("10", "1"), ("9", "2")], "`d/icd_version` string, `d/icd_code` string")
+    names = spark.createDataFrame([(9, "1", "one"), (10, "1", "ten")], "icd_version int, icd_code string, long_title string")
+    got = clean.describe_coded(df, names, "d")
+    assert rows_of(got) == [("10", "1", "ten"), ("9", "1", "one"), ("9", "2", None)]
+    with pytest.raises(KeyError):
+        clean.describe_coded(df, names.drop("icd_version"), "d")
+    with pytest.raises(KeyError):
+        clean.describe_coded(df.drop("d/icd_code"), names, "d")
+
+
+def test_describe_items(spark):
+    df = spark.createDataFrame([("1", 5), ("2", 6)], "`l/itemid` string, v int")
+    names = spark.createDataFrame([("1", "Sodium", "Blood")], "itemid string, label string, fluid string")
+    got = clean.describe_items(df, names, "l")
+    assert got.columns == ["v", "l/description", "fluid"]
+    assert rows_of(got) == [(5, "Sodium", "Blood"), (6, None, None)]
+    with pytest.raises(KeyError):
+        clean.describe_items(df, names.drop("label"), "l")
+    with pytest.raises(KeyError):
+        clean.describe_items(df.drop("l/itemid"), names, "l")
+
+
+def test_unify_visit(spark):
+    df = spark.createDataFrame([("1", None), (None, "2")], "`a/hadm_id` string, `b/hadm_id` string")
+    got = clean.unify_visit(df)
+    assert got.columns == ["hadm_id"]
+    assert rows_of(got) == [("1",), ("2",)]
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([(None, "x")], "a string, b string")
+    with pytest.raises(KeyError):
+        clean.require_columns(df, ["c"])
+    with pytest.raises(ValueError):
+        clean.require_set(df, ["a"])
+    with pytest.raises(ValueError):
+        clean.require_types(df, times=["b"])
+    with pytest.raises(ValueError):
+        clean.require_types(df, numbers=["b"])
+
+
+ICU = "subject_id string, hadm_id string, stay_id string, itemid string, charttime timestamp_ntz, valuenum double, valueuom string"
+
+
+def test_weights_in_kilograms(frame):
+    df = frame(ICU, [("1", "2", "3", "226531", hours(0), 199.8, ""), ("1", "2", "3", "224639", hours(1), 90.0, "kg")])
+    got = clean.weights_in_kilograms(df)
+    assert got.columns == ["subject_id", "hadm_id", "stay_id", "charttime", "valuenum"]
+    assert [r[-1] for r in rows_of(got)] == [pytest.approx(90.6277555), 90.0]
+    with pytest.raises(KeyError):
+        clean.weights_in_kilograms(df.drop("itemid"))
+    with pytest.raises(ValueError):
+        clean.weights_in_kilograms(df.withColumn("valuenum", df.valueuom))
+
+
+def test_net_urine(frame):
+    rows = [("1", "2", "3", "226559", hours(0), 100.0, "mL") for _ in range(5)]
+    rows += [("1", "2", "3", "227488", hours(0), 300.0, "mL"), ("1", "2", "3", "227488", hours(1), -300.0, "mL"),
+             ("1", "2", None, "226559", hours(2), 50.0, "mL"), ("1", "2", "3", "226559", hours(3), None, "mL")]
+    assert [(r[3], r[4]) for r in rows_of(clean.net_urine(frame(ICU, rows)))] == [(hours(0), 200.0), (hours(1), -300.0)]
