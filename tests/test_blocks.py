@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import hours, rows_of
 from tidemark.operators.align import asof_backfill, asof_join
-from tidemark.operators.blocks import number_rows, running, split_points
+from tidemark.operators.blocks import _with_block, number_rows, running, split_points
 from tidemark.operators.rolling import trailing
 
 SCHEMA = "k string, t timestamp_ntz, id bigint, v double"
@@ -37,6 +37,17 @@ def test_heavy_key_is_cut_and_small_keys_are_not(skewed):
     assert split_points(skewed, ["k"], ["t", "id"]).count() == 0
 
 
+def test_blocks_count_the_cuts_at_or_below(frame):
+    """More cuts than a slice holds, with rows before the first and after the last."""
+    cut_at = list(range(10, 10 + 2 * 150, 2))
+    splits = frame("k string, _cuts array<struct<id:bigint>>", [("hot", [(c,) for c in cut_at])])
+    rows = frame("k string, id bigint", [("hot", i) for i in range(330)] + [("cold", 50), (None, 50)])
+    got = _with_block(rows, splits, ["k"], ["id"], "left")
+    want = [("hot", i, sum(c <= i for c in cut_at)) for i in range(330)] + [("cold", 50, 0), (None, 50, 0)]
+    assert rows_of(got, "k", "id", "_block") == rows_of_list(want)
+    assert _with_block(rows, splits, ["k"], ["id"], "inner").count() == 330
+
+
 @pytest.mark.parametrize("rows_per_block", [3, 25, 10**6])
 @pytest.mark.parametrize("reverse", [False, True])
 def test_running_equals_plain_window(skewed, rows_per_block, reverse):

@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col, count_at_or_below
+from tidemark.session import cut_lineage
 
 ROWS_PER_BLOCK = 1_000_000
 # Bounds on what is broadcast. Leaving out cuts makes blocks larger, never results different.
 MAX_CUTS = 200_000
-MAX_CUTS_PER_KEY = 1_000
+MAX_CUTS_PER_KEY = 4_096
+# A row of a heavy key is joined to at most two lists of this many cuts, not to all of them.
+_SLICE = 64
 _MIN_CUTS = 2
 
 _EVERYTHING = "_everything"
@@ -72,9 +75,12 @@ def heavy_splits(
     order: Sequence[str],
     rows_per_block: int | None = None,
 ) -> DataFrame | None:
-    """``split_points``, or None when no key is heavy. Runs one job over keys and order."""
+    """``split_points``, or None when no key is heavy. Runs one job over keys and order.
+
+    Cut points that are going to be used are written down, so that they are searched for once.
+    """
     splits = split_points(df, keys, order, rows_per_block)
-    return None if splits.isEmpty() else splits
+    return None if splits.isEmpty() else cut_lineage(splits)
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -108,12 +114,32 @@ def join_per_key(
 def _with_block(
     df: DataFrame, splits: DataFrame, keys: Sequence[str], order: Sequence[str], how: str
 ) -> DataFrame:
+    """Add ``_block``, the number of the key's cuts at or below the row; 0 for ordinary keys.
+
+    The cuts are searched in two steps, first the slice and then the place in it, because the
+    list found by a join is copied into every row.
+    """
     here = F.struct(*[col(o) for o in order])
-    block = count_at_or_below(F.col("_cuts"), here, MAX_CUTS_PER_KEY)
+    key_cols = [col(k) for k in keys]
+    slices = F.sequence(F.lit(0), ((F.size("_cuts") - 1) / _SLICE).cast("int"))
+    firsts = splits.select(
+        *key_cols, F.transform(slices, lambda i: F.get(F.col("_cuts"), i * _SLICE)).alias("_firsts")
+    )
+    within = splits.select(
+        *key_cols,
+        F.posexplode(F.transform(slices, lambda i: F.slice("_cuts", i * _SLICE + 1, F.lit(_SLICE)))).alias(
+            "_slice", "_within"
+        ),
+    )
+    found = count_at_or_below(F.col("_firsts"), here, MAX_CUTS_PER_KEY // _SLICE) - 1
+    sliced = match_keys(df, firsts, keys, how).withColumn(
+        "_slice", F.when(F.col("_firsts").isNotNull(), found)
+    )
+    place = F.col("_slice") * _SLICE + count_at_or_below(F.col("_within"), here, _SLICE)
     return (
-        match_keys(df, splits, keys, how)
-        .withColumn("_block", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(block))
-        .drop("_cuts")
+        match_keys(sliced.drop("_firsts"), within, [*keys, "_slice"], "left")
+        .withColumn("_block", F.when(F.col("_within").isNull(), F.lit(0)).otherwise(place))
+        .drop("_slice", "_within")
     )
 
 

@@ -11,19 +11,31 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 1_000_000
 
 
+# What the operators expect of any session.
+SESSION_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+# For clusters and tables of many terabytes: shuffles start out in many partitions and adaptive
+# execution merges them to a size that suits an executor, so that one setting serves every query.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
+
 def build_session(app_name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
-    """Open a session with the settings the operators expect."""
+    """Open a session; ``conf`` overrides the settings chosen for a local or a cluster master."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.ansi.enabled": "true",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.ui.enabled": "false",
-        **conf,
-    }
+    local = master is not None and master.startswith("local")
+    settings = {**SESSION_SETTINGS, **({"spark.ui.enabled": "false"} if local else CLUSTER_SETTINGS), **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
