@@ -31,11 +31,9 @@ WHERE value - low >= 100 GROUP BY user_id
 """
 
 
-def _rise(spark, sf_dir, rows_per_block=None):
+def _rise(spark, sf_dir, **sizes):
     events = table(spark, sf_dir, "events").select("user_id", "ts", "value")
-    lows = trailing(
-        events, ["user_id"], "ts", "48h", {"low": ("min", F.col("value"))}, rows_per_block=rows_per_block
-    )
+    lows = trailing(events, ["user_id"], "ts", "48h", {"low": ("min", F.col("value"))}, **sizes)
     return (
         lows.filter(F.col("value") - F.col("low") >= 100)
         .groupBy("user_id")
@@ -51,8 +49,8 @@ def rolling_min_rise(spark, sf_dir):
 
 @query("rolling_min_rise_split", _RISE_SQL)
 def rolling_min_rise_split(spark, sf_dir):
-    """The same with every key cut into blocks."""
-    return _rise(spark, sf_dir, _SMALL_BLOCK)
+    """The same by running aggregates over slots of time, themselves cut into small blocks."""
+    return _rise(spark, sf_dir, rows_per_window=1, rows_per_block=2)
 
 
 @query("rolling_sum_closed", """

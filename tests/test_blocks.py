@@ -86,12 +86,12 @@ def test_number_rows(skewed, rows_per_block):
 
 
 @pytest.mark.parametrize("closed,low", [("right", 1), ("both", 0)])
-@pytest.mark.parametrize("rows_per_block", [6, 10**6])
-def test_trailing_equals_brute_force(skewed, closed, low, rows_per_block):
+@pytest.mark.parametrize("rows_per_block,rows_per_window", [(6, 5), (10**6, 5), (10**6, 10**6)])
+def test_trailing_equals_brute_force(skewed, closed, low, rows_per_block, rows_per_window):
     got = trailing(
         skewed, ["k"], "t", "48h",
         {"lo": ("min", F.col("v")), "s": ("sum", F.col("v")), "n": ("count", F.lit(1))},
-        closed=closed, rows_per_block=rows_per_block,
+        closed=closed, rows_per_block=rows_per_block, rows_per_window=rows_per_window,
     )
     rows = skewed_rows()
     want = []

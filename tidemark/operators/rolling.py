@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col, duration_micros, floor_div, micros
-from tidemark.operators.blocks import heavy_splits, match_keys, merge, running
+from tidemark.operators.blocks import merge, running
 from tidemark.session import cut_lineage
 
+# Spark walks a sliding window anew for every row, so its cost per row is the rows in the window.
+# Up to this many rows per key and stretch of time that is still the cheapest way.
+ROWS_PER_WINDOW = 1_000
+
 
 def trailing(
     df: DataFrame,
@@ -20,38 +24,44 @@ def trailing(
     aggregates: Mapping[str, tuple[str, Column]],
     *,
     closed: str = "right",
+    rows_per_window: int | None = None,
     rows_per_block: int | None = None,
-    may_be_heavy: bool = True,
 ) -> DataFrame:
     """Add aggregates over ``(t - width, t]`` (closed right) or ``[t - width, t]`` (closed both).
 
-    Rows sharing a timestamp see each other. Kinds are min, max, sum and count. Ordinary keys use
-    one RANGE window. A key too large for one task is computed from two running aggregates that
-    do split: cutting time into slots one width long, the window is the part of the row's own
-    slot up to the row plus the part of the previous slot after ``t - width``.
+    Rows sharing a timestamp see each other. Kinds are min, max, sum and count; ``at`` must be
+    set. Where windows hold few rows this is one RANGE window. Otherwise, and whatever the skew,
+    it is computed from two running aggregates in linear time: cutting time into slots one width
+    long, the window is the part of the row's own slot up to the row plus the part of the
+    previous slot after ``t - width``.
+
+    Args:
+        df: any frame.
+        keys: grouping columns; null is a key.
+        at: the timestamp column.
+        width: a duration such as ``48h``.
+        aggregates: new column -> (kind, value).
+        closed: which ends of the window count.
+        rows_per_window: beyond this many rows of a key in one slot the second way is taken.
+        rows_per_block: see ``running``.
     """
     if closed not in ("right", "both"):
         raise ValueError(f"closed must be 'right' or 'both', got {closed!r}.")
     span = duration_micros(width)
     timed = df.withColumn("_us", micros(at))
-    frame = (
-        Window.partitionBy(*[col(k) for k in keys])
-        .orderBy("_us")
-        .rangeBetween(-span if closed == "both" else 1 - span, Window.currentRow)
-    )
-    ranged = {
-        name: getattr(F, kind)(value).over(frame) for name, (kind, value) in aggregates.items()
-    }
-    splits = heavy_splits(timed, keys, ["_us"], rows_per_block) if may_be_heavy else None
-    if splits is None:
-        return timed.withColumns(ranged).drop("_us")
-    heavy = splits.drop("_cuts")
-
-    ordinary = match_keys(timed, heavy, keys, "left_anti").withColumns(ranged)
-
-    slotted = match_keys(timed, heavy, keys, "left_semi")
-    values = _at_each_moment(slotted, keys, span, aggregates, closed, rows_per_block)
-    return ordinary.unionByName(_join_moments(slotted, values, keys)).drop("_us")
+    key_cols = [col(k) for k in keys]
+    per_slot = timed.groupBy(*key_cols, floor_div(F.col("_us"), span)).count()
+    if per_slot.filter(F.col("count") > (rows_per_window or ROWS_PER_WINDOW)).isEmpty():
+        frame = (
+            Window.partitionBy(*key_cols)
+            .orderBy("_us")
+            .rangeBetween(-span if closed == "both" else 1 - span, Window.currentRow)
+        )
+        return timed.withColumns(
+            {name: getattr(F, kind)(value).over(frame) for name, (kind, value) in aggregates.items()}
+        ).drop("_us")
+    values = _at_each_moment(timed, keys, span, aggregates, closed, rows_per_block)
+    return _join_moments(timed, values, keys).drop("_us")
 
 
 def _at_each_moment(
@@ -62,22 +72,23 @@ def _at_each_moment(
     closed: str,
     rows_per_block: int | None,
 ) -> DataFrame:
-    """The aggregates once per (key, ``_us``), computed without a task per key."""
+    """The aggregates once per (key, ``_us``), without a task per key."""
     key_cols = [col(k) for k in keys]
     in_slot = [*keys, "_slot"]
-    # Rows of one moment collapse before the shuffle, however many there are. What is left of the
-    # heavy keys is read several times below.
+    # Rows of one moment collapse before the shuffle, however many there are.
     moments = cut_lineage(
-        timed.withColumn("_slot", floor_div(F.col("_us"), span))
-        .groupBy(*key_cols, "_slot", "_us")
-        .agg(*[getattr(F, kind)(value).alias(f"_value_{n}") for n, (kind, value) in aggregates.items()])
+        timed.groupBy(*key_cols, floor_div(F.col("_us"), span).alias("_slot"), "_us").agg(
+            *[getattr(F, kind)(value).alias(f"_value_{n}") for n, (kind, value) in aggregates.items()]
+        )
     )
     kinds = {n: "sum" if kind == "count" else kind for n, (kind, _) in aggregates.items()}
-    own_slot = cut_lineage(running(
-        moments, in_slot, ["_us"],
-        {f"_own_{n}": (kind, F.col(f"_value_{n}")) for n, kind in kinds.items()},
-        rows_per_block=rows_per_block,
-    ))
+    own_slot = cut_lineage(
+        running(
+            moments, in_slot, ["_us"],
+            {f"_own_{n}": (kind, F.col(f"_value_{n}")) for n, kind in kinds.items()},
+            rows_per_block=rows_per_block,
+        )
+    )
     # Walking backwards, a probe placed at t - width has met exactly the moments after it. At
     # equal time the side decides whether the moment on the edge is met first.
     data_side, probe_side = (0, 1) if closed == "right" else (1, 0)

@@ -25,7 +25,7 @@ def urine_rate(
     and neither has a row without weight. A rate may be negative.
     """
     weighings = weights.select("subject_id", "hadm_id", "charttime", col("valuenum").alias("weight"))
-    # One look at the admissions serves all three steps, since a stay lies within an admission.
+    # One look at the admissions serves both steps of the alignment.
     admission = ["subject_id", "hadm_id"]
     moments = urine.select(*admission, "charttime").unionByName(weighings.select(*admission, "charttime"))
     crowded = heavy_splits(moments, admission, ["charttime"], rows_per_block) is not None
@@ -51,7 +51,6 @@ def urine_rate(
         },
         closed="both",
         rows_per_block=rows_per_block,
-        may_be_heavy=crowded,
     ).withColumn("window_hours", hours_between("_start", "charttime"))
     per_hour = F.try_divide(F.try_divide(F.col("_volume"), F.col("weight")), F.col("window_hours"))
     return windowed.select(
