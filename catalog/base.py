@@ -274,6 +274,8 @@ def diagnosed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         errors.withColumn("visit_id", visit_id("user_id", "ts"))
         .join(started, "visit_id")
         .filter(F.col("ts") > F.col("admittime") + F.expr("interval 48 hours"))
+        # Its own shuffle lets adaptive execution split the join where one visit is huge.
+        .repartition("user_id", "visit_id")
         .groupBy(F.col("user_id").alias("subject_id"), "visit_id")
         .agg(F.min("ts").alias("timestamp"))
     )

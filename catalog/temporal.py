@@ -50,7 +50,7 @@ def rolling_min_rise(spark, sf_dir):
 @query("rolling_min_rise_split", _RISE_SQL)
 def rolling_min_rise_split(spark, sf_dir):
     """The same by running aggregates over slots of time, themselves cut into small blocks."""
-    return _rise(spark, sf_dir, rows_per_window=1, rows_per_block=2)
+    return _rise(spark, sf_dir, rows_per_window=1, rows_per_block=4)
 
 
 @query("rolling_sum_closed", """

@@ -27,8 +27,9 @@ def asof_join(
 
     Both frames go through one shuffle as a single tagged stream; a running "last right row"
     does the matching. A matched row wins even if its values are null. Among right rows at one
-    time the largest ``tie`` wins, then the largest ``take`` values. Left rows without a match keep nulls. ``may_be_heavy=False`` is the caller's word
-    that no key is too large for one task, and spares the look.
+    time the largest ``tie`` wins, then the largest ``take`` values. Left rows without a match
+    keep nulls. ``may_be_heavy=False`` is the caller's word that no key is too large for one
+    task, and spares the look.
     """
     right_on = right_on or on
     keys = [f"_key_{i}" for i in range(len(by))]
