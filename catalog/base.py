@@ -33,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def block_rows(df: DataFrame, blocks: int) -> int:
+    """Rows per block that cut a table into about so many blocks, whatever its size.
+
+    The queries named ``*_split`` and a few others use it to cut keys that are not heavy, so that
+    the split path is compared with SQL at every scale.
+    """
+    return max(2, df.count() // blocks)
+
+
 def with_sql(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 

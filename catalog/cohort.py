@@ -6,6 +6,7 @@ from catalog.base import (
     CODED,
     DIAGNOSED,
     GRID,
+    block_rows,
     coded_events,
     diagnosed_visits,
     query,
@@ -163,8 +164,8 @@ def _customer_folds(spark, sf_dir, rows_per_block=None):
 
 @query("hash_split", with_sql(_CUSTOMER_STRATA, _FOLDS) + "SELECT * FROM folds")
 def hash_split(spark, sf_dir):
-    """Strata cut into blocks of about 40 subjects."""
-    return _customer_folds(spark, sf_dir, rows_per_block=40)
+    """Strata cut into about a hundred blocks in all."""
+    return _customer_folds(spark, sf_dir, block_rows(table(spark, sf_dir, "customer"), 100))
 
 
 @query("subject_folds", with_sql(CODED, DIAGNOSED, _STRATA.replace("strata AS", "banded AS")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, table, visit_id
+from catalog.base import block_rows, query, table, visit_id
 from tidemark.operators.clean import cast_columns, clean_numbers, describe_coded, describe_items, unify_visit
 from tidemark.operators.profile import EventProfile, exact_quantiles, mostly_complete, value_shares
 
@@ -91,9 +91,10 @@ SELECT round(quantile_cont(o_totalprice, 0.01), 4) AS q0, round(quantile_cont(o_
 FROM orders
 """)
 def quantiles(spark, sf_dir):
-    """Exact quantiles, the ranking cut into blocks of about 500 values."""
+    """Exact quantiles, the ranking cut into about a hundred blocks."""
+    orders = table(spark, sf_dir, "orders")
     found = exact_quantiles(
-        table(spark, sf_dir, "orders"), "o_totalprice", [0.01, 0.5, 0.999], rows_per_block=500
+        orders, "o_totalprice", [0.01, 0.5, 0.999], rows_per_block=block_rows(orders, 100)
     )
     return found.select(*[F.round(c, 4).alias(c) for c in found.columns])
 

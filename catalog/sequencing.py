@@ -6,7 +6,7 @@ value bins for views, texts for clicks.
 
 from pyspark.sql import functions as F
 
-from catalog.base import CODED, DIAGNOSED, GRID, code_of_event, coded_events, query, table, with_sql
+from catalog.base import CODED, DIAGNOSED, GRID, block_rows, code_of_event, coded_events, query, table, with_sql
 from catalog.cohort import labels
 from tidemark.operators import concepts, sequences, tokens
 from tidemark.operators.blocks import number_rows
@@ -225,8 +225,9 @@ def chunk_timeline(spark, sf_dir):
 
 @query("chunk_timeline_split", _CELLS_SQL)
 def chunk_timeline_split(spark, sf_dir):
-    """The same with every subject cut into blocks of about 20 events."""
-    return _rounded_ages(chunked(spark, sf_dir, rows_per_block=20))
+    """The same with the subjects cut into about five hundred blocks in all."""
+    small = block_rows(table(spark, sf_dir, "events"), 500)
+    return _rounded_ages(chunked(spark, sf_dir, rows_per_block=small))
 
 
 @query("place_labels", with_sql(CODED, DIAGNOSED, GRID, VOCABULARY, LEAVES, CHUNKS) + "SELECT * FROM on_sequences")

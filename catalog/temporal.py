@@ -6,6 +6,7 @@ from catalog.base import (
     CHARTED,
     HOSPITAL,
     URINE_RATE,
+    block_rows,
     hospital_events,
     query,
     table,
@@ -19,9 +20,6 @@ from tidemark.operators.clean import net_urine, weights_in_kilograms
 from tidemark.operators.rolling import trailing
 from tidemark.plans import phenotype
 
-# Small enough to cut every user's events, so that the split path is compared with SQL too.
-_SMALL_BLOCK = 8
-
 _RISE_SQL = """
 SELECT user_id, min(ts) AS onset FROM (
   SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY ts
@@ -50,7 +48,8 @@ def rolling_min_rise(spark, sf_dir):
 @query("rolling_min_rise_split", _RISE_SQL)
 def rolling_min_rise_split(spark, sf_dir):
     """The same by running aggregates over slots of time, themselves cut into small blocks."""
-    return _rise(spark, sf_dir, rows_per_window=1, rows_per_block=4)
+    small = block_rows(table(spark, sf_dir, "events"), 2500)
+    return _rise(spark, sf_dir, rows_per_window=1, rows_per_block=small)
 
 
 @query("rolling_sum_closed", """
@@ -77,7 +76,8 @@ def positions(spark, sf_dir):
     """Row number and group size in five large groups, cut into blocks."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
     return number_rows(
-        events, ["event_type"], ["ts", "event_id"], "position", group_size="n", rows_per_block=500
+        events, ["event_type"], ["ts", "event_id"], "position", group_size="n",
+        rows_per_block=block_rows(events, 100),
     ).select("event_id", "position", "n")
 
 
@@ -108,7 +108,7 @@ def asof_weight(spark, sf_dir):
 
 @query("asof_weight_split", _ASOF_SQL)
 def asof_weight_split(spark, sf_dir):
-    return _asof(spark, sf_dir, _SMALL_BLOCK)
+    return _asof(spark, sf_dir, block_rows(table(spark, sf_dir, "events"), 1000))
 
 
 @query("asof_backfill", with_sql(CHARTED, """
