@@ -16,7 +16,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.QUERIES))
 def test_query_equals_sql(spark, duck, name):
     got = contract.queries()[name](spark, SF_DIR)
     assert difference(got, duck.execute(contract.oracle_sql()[name])) is None
@@ -27,4 +27,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(contract.ORACLES) == set(contract.QUERIES)
