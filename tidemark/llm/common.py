@@ -38,3 +38,13 @@ def staged(df: DataFrame) -> DataFrame:
     folder = staging_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+# A table goes to every executor only if its counted rows take no more than this.
+BROADCAST_BYTES = 32 << 20
+
+
+def sent_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """Mark a table (cheap to count) for broadcast if it is small; else Spark joins by shuffle."""
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
