@@ -74,7 +74,7 @@ class Polynomial:
         return mix((sums[ends] - sums[starts]) * self._inverses[starts] + (ends - starts).astype(U64))
 
 
-_BYTES = (Polynomial(0x9E3779B97F4A7C15, 1), Polynomial(0xD6E8FEB86659FD93, 2))
+BYTE_HASHES = (Polynomial(0x9E3779B97F4A7C15, 1), Polynomial(0xD6E8FEB86659FD93, 2))
 _WORDS = (Polynomial(0xA0761D6478BD642F, 3), Polynomial(0xE7037ED1A0B428DB, 4))
 
 
@@ -98,7 +98,7 @@ class Words:
         return np.diff(self.bounds)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        kind = _BYTES[which]
+        kind = BYTE_HASHES[which]
         return kind.ranges(kind.sums(kind.values[self.data]), self.starts, self.ends)
 
 
