@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.secrets import KINDS, find_secrets
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.substring_dedup import remove_repeated_passages
 
@@ -57,3 +58,22 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("strong", lambda s: s.kind == kind)).cast("long")
+
+    def listed(spans: str):
+        names = F.array(*[F.lit(k) for k in KINDS])
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", names[s.kind], s.start.cast("string"), s.end.cast("string"))), ","
+        )
+
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(listed("strong"), 256).alias("base_sha256"), listed("spans").alias("spans"),
+    )
