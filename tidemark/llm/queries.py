@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.html_text import extract_main_text
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import COUNTS, judge_quality
 from tidemark.llm.secrets import KINDS, find_secrets
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.substring_dedup import remove_repeated_passages
@@ -61,6 +62,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept", "score")
+
+
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
