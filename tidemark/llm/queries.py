@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.html_text import extract_main_text
+from tidemark.llm.line_dedup import find_repeated_lines
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import COUNTS, judge_quality
 from tidemark.llm.secrets import KINDS, find_secrets
@@ -91,3 +92,9 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_main_text(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = find_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
