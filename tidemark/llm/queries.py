@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontaminate import find_benchmark_passages
 from tidemark.llm.html_text import extract_main_text
 from tidemark.llm.line_dedup import find_repeated_lines
+from tidemark.llm.licences import find_licences, known_licences
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.pseudonyms import replace_personal_data
 from tidemark.llm.quality import COUNTS, judge_quality
 from tidemark.llm.secrets import KINDS, find_secrets
 from tidemark.llm.simhash import near_duplicates
@@ -94,6 +96,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licences(table(spark, sf_dir, "documents"), known_licences(spark))
+    return found.select(
+        "doc_id", F.array_join("whole", ",").alias("whole"), F.array_join("licences", ",").alias("licences"),
+        F.size("licences").cast("long").alias("n_licences"),
+    )
+
+
+@query
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is for show; whoever keeps pseudonyms passes a secret one."""
+    found = replace_personal_data(table(spark, sf_dir, "documents"), b"an example, not a secret")
+    spans = F.array_join(
+        F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ","
+    )
+    return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_found"), spans.alias("spans"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = find_repeated_lines(table(spark, sf_dir, "documents"))
