@@ -84,9 +84,9 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int, int,
     return placed
 
 
-def _tokenised(path: str):
+def _tokenised(path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, pattern)
         for batch, data, offsets in slices(batches, "text"):
             ids, bounds = encoder.encode(data, offsets)
             lots = [np.append(ids[s:e], np.uint32(END_OF_TEXT)).astype("<u4").tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
@@ -131,7 +131,7 @@ def _packed(capacity: int):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
     capacity: int = 2048, group_documents: int = 2000,
 ) -> DataFrame:
     """One row per piece: the document's id, ``start`` and ``length`` of the piece in its tokens,
@@ -146,7 +146,7 @@ def pack_documents(
     return (
         keyed(docs, id_col, text_col)
         .withColumn("part", F.pmod(F.xxhash64("doc", "th", F.lit(7)), F.lit(groups)))
-        .mapInArrow(_tokenised(tokenizer_path), f"part long, doc long, th long, id {id_type}, ids binary")
+        .mapInArrow(_tokenised(tokenizer_path, pattern), f"part long, doc long, th long, id {id_type}, ids binary")
         .groupBy("part")
         .applyInArrow(_packed(capacity), f"id {id_type}, {_PIECES}")
         .withColumnRenamed("id", id_col)

@@ -18,7 +18,7 @@ from tidemark.llm.secrets import KINDS, find_secrets
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.substring_dedup import remove_repeated_passages
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -1,21 +1,26 @@
-"""Token ids of whole texts by a public byte-level BPE file, each distinct stretch encoded once.
+"""Token ids of whole texts by a public byte-level BPE vocabulary, each distinct stretch encoded once.
 
 The vocabulary's splitting rule never joins what stands on both sides of a single space or line end
-between ordinary characters. Texts are cut there, equal stretches are found by hash (two hashes of
-64 bits must agree), and only stretches not seen before go through the tokenizer.
+between ordinary characters, or of a full stop or comma after a letter. Texts are cut there, equal
+stretches are found by hash (two hashes of 64 bits must agree), and only stretches not seen before are
+encoded. The ranks of the merges come from the vocabulary file in its ``tiktoken`` form, which encodes
+single stretches several times faster than the ``tokenizers`` form and to the same ids.
 """
 
 from __future__ import annotations
 
+import base64
+from array import array
+
 import numpy as np
 
 from tidemark.llm.words import BYTE_HASHES
 
-CACHED = 400_000
+CACHED = 150_000
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where a stretch begins: document starts, lone spaces, and lone line ends and what follows."""
+    """Places where a stretch begins."""
     n = len(data)
     plain = (data > 0x20) & (data < 0x7F)
     # Two-byte characters but those that begin with 0xC2, which has blanks too.
@@ -31,7 +36,10 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # A blank at either end of a document is not between characters of it.
     inner = left & right & ~edge[:n] & ~edge[1:]
     lone = np.flatnonzero(inner & ((data == 0x20) | (data == 0x0A)))
+    letter = np.zeros(n, bool)
+    letter[1:] = (((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A) & (data < 0x80))[:-1]
     begin = edge
+    begin[:n] |= letter & ((data == 0x2C) | (data == 0x2E))
     begin[lone] = True
     begin[lone[data[lone] == 0x0A] + 1] = True
     return np.flatnonzero(begin[:n])
@@ -40,22 +48,25 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes slices of documents; keeps the ids of stretches it has seen, up to a bound."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.seen: dict[bytes, np.ndarray] = {}
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.encode_one = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.seen: dict[bytes, bytes] = {}
 
-    def _encode(self, stretches: list[bytes]) -> list[np.ndarray]:
+    def _encode(self, stretches: list[bytes]) -> list[bytes]:
         if len(self.seen) > CACHED:
             self.seen.clear()
-        unknown = [s for s in stretches if s not in self.seen]
-        if unknown:
-            done = self.tokenizer.encode_batch_fast([s.decode() for s in unknown], add_special_tokens=False)
-            for s, e in zip(unknown, done):
-                self.seen[s] = np.array(e.ids, dtype=np.uint32)
-        return [self.seen[s] for s in stretches]
+        seen, one = self.seen, self.encode_one
+        out = []
+        for stretch in stretches:
+            ids = seen.get(stretch)
+            if ids is None:
+                ids = seen[stretch] = array("I", one(stretch.decode())).tobytes()
+            out.append(ids)
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents in a row, and where each document's ids begin."""
@@ -69,12 +80,10 @@ class Encoder:
             first = of = np.arange(len(starts))
         held = data.tobytes()
         ids = self._encode([held[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         base = np.cumsum(size) - size
         n = size[of]
         total = np.cumsum(n)
         gather = np.arange(total[-1]) + np.repeat(base[of] - (total - n), n)
-        bounds = np.concatenate(([0], total))[np.searchsorted(starts, offsets)]
-        return flat[gather], bounds
-
+        return flat[gather], np.concatenate(([0], total))[np.searchsorted(starts, offsets)]
