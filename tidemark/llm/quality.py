@@ -1,8 +1,8 @@
 """Quality rules: statistics of each document, plain rules, and an isolation forest over the statistics.
 
-The forest is grown from a bounded sample (``trees`` times ``sample`` documents, the ones with the
-smallest hashes of their ids): each tree splits its part at random, and what is split off early is
-rare. All documents are scored by their mean path length. The threshold is calibrated on all labelled
+The forest is grown from a bounded sample (``pool`` documents, the ones with the smallest hashes of
+their ids): each tree splits ``sample`` of them at random, and what is split off early is rare. Few
+documents per tree keep crowds of like anomalies from hiding each other. All documents are scored by their mean path length. The threshold is calibrated on all labelled
 documents: a histogram of scores by label is summed in Spark, and the threshold is the one that rejects
 the most bad documents while it rejects at most ``max_loss`` of the good ones.
 """
@@ -71,9 +71,9 @@ class IsolationForest:
 
     def __init__(self, rows: np.ndarray, trees: int, sample: int, seed: int):
         random = np.random.default_rng(seed)
-        self.sample = max(2, min(sample, len(rows)))
-        self.height = int(np.ceil(np.log2(self.sample))) + 2
-        self.trees = [self._grow(rows[i::trees][:sample], random) for i in range(trees) if len(rows[i::trees])]
+        self.sample = min(sample, len(rows))
+        self.height = int(np.ceil(np.log2(max(2, self.sample)))) + 2
+        self.trees = [self._grow(rows[random.choice(len(rows), self.sample, replace=False)], random) for _ in range(trees)]
 
     def _grow(self, rows: np.ndarray, random: np.random.Generator):
         column, cut, left, right, depth = [], [], [], [], []
@@ -145,7 +145,7 @@ def threshold(histogram: list[tuple[int, int, int]], max_loss: float) -> float:
 
 def judge_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
-    quality_col: str = "quality", trees: int = 100, sample: int = 256, max_loss: float = 0.01, seed: int = 5,
+    quality_col: str = "quality", trees: int = 300, sample: int = 12, pool: int = 25_600, max_loss: float = 0.005, seed: int = 5,
 ) -> DataFrame:
     """Per row of ``docs``: its id, the five ``COUNTS``, ``base_failed``, ``score``, ``kept`` and the keys
     ``doc, th`` of the row.
@@ -165,7 +165,7 @@ def judge_quality(
     drawn = (
         each.filter(~F.col("base_failed"))
         .orderBy(F.xxhash64("doc", "th", F.lit(seed)), "doc", "th")
-        .limit(trees * sample)
+        .limit(pool)
         .select(*COUNTS)
         .toPandas()
     )
