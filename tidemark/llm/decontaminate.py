@@ -99,9 +99,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(change, words.bounds[row] + start + size, -1)
         hit = np.concatenate(([0], np.cumsum(np.cumsum(change[:-1]) > 0)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(words.counts.astype(np.int64)),
+            [batch.column("doc"), batch.column("th"), batch.column("id"), pa.array(words.counts.astype(np.int64)),
              pa.array((hit[words.bounds[1:]] - hit[words.bounds[:-1]]).astype(np.int64)), batch.column("items")],
-            ["id", "n_words", "n_hit", "items"],
+            ["doc", "th", "id", "n_words", "n_hit", "items"],
         )
 
 
@@ -110,7 +110,7 @@ def find_benchmark_passages(
     item_id_col: str = "item_id", item_text_col: str = "text", length: int = 10,
 ) -> DataFrame:
     """Per row of ``docs``: its id, ``n_words``, ``n_hit`` (words inside any occurrence of a window)
-    and ``items`` (the distinct ids of items with occurring windows).
+    and ``items`` (the distinct ids of items with occurring windows), and the keys ``doc, th``.
 
     Words are runs of digits, letters (A-Z in lower case) and characters beyond ASCII. A window is
     ``length`` consecutive words of an item, or all words of a shorter item. Null or empty text has
@@ -145,6 +145,6 @@ def find_benchmark_passages(
         source.join(hits, ["doc", "th"], "left")
         .withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<size:bigint,start:bigint>>")))
         .withColumn("items", F.coalesce("items", F.array().cast(f"array<{item_type}>")))
-        .mapInArrow(_counted, f"id {id_type}, n_words long, n_hit long, items array<{item_type}>")
+        .mapInArrow(_counted, f"doc long, th long, id {id_type}, n_words long, n_hit long, items array<{item_type}>")
         .withColumnRenamed("id", id_col)
     )
