@@ -1,0 +1,106 @@
+"""Fingerprints, their links and components against all pairs; fuzzy lines."""
+
+import random
+
+import pytest
+import xxhash
+
+from tests.llm.conftest import awkward_texts, made_up
+from tidemark.llm.components import connected_components
+from tidemark.llm.line_dedup import find_repeated_lines
+from tidemark.llm.simhash import links_within_two_bits, near_duplicates
+
+
+def groups(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    pick = random.Random(4)
+    links = [(pick.randrange(300), pick.randrange(300)) for _ in range(200)]
+    links += [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5200)] + [(7, 7)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    assert got == groups(nodes, [x for x in links if x[0] != x[1]])
+
+
+def test_no_links(spark):
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("crowd", [0, 60])
+def test_links_connect_all_within_two_bits(spark, crowd):
+    pick = random.Random(crowd)
+    centre = pick.getrandbits(64)
+    prints = {pick.getrandbits(64) for _ in range(60)}
+    for x in list(prints)[:30]:
+        prints.add(x ^ (1 << pick.randrange(64)) ^ (1 << pick.randrange(64)))
+    for _ in range(crowd):
+        x = centre
+        for _ in range(pick.randrange(1, 5)):
+            x ^= 1 << pick.randrange(64)
+        prints.add(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    links = [tuple(r) for r in links_within_two_bits(frame).collect()]
+    distance = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    assert all(distance(a, b) <= 2 for a, b in links)
+    true = [(a, b) for a in signed for b in signed if a < b and distance(a, b) <= 2]
+    assert groups(signed, links) == groups(signed, true)
+
+
+def test_documents(awkward):
+    prints = []
+    for key, text in awkward_texts():
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        words = [w for w in words.translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w]
+        shingles = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    rows = [(k if k is not None else -1, x) for (k, _), x in zip(awkward_texts(), prints)]
+    links = [(a, b) for a, x in rows for b, y in rows if (x ^ y).bit_count() <= 2]
+    want = groups({k for k, _ in rows}, links)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.fp & ((1 << 64) - 1), r.component_id if r.component_id is not None else -1) for r in near_duplicates(awkward).collect())
+    assert got == sorted((k, x, want[k]) for k, x in rows)
+
+
+def test_no_documents(no_documents):
+    assert near_duplicates(no_documents).collect() == []
+    assert find_repeated_lines(no_documents).collect() == []
+
+
+def test_lines(spark):
+    long = made_up(1, 700)
+    near = long.replace(long.split()[60], "other", 1)
+    rows = [
+        (2, f"Alpha beta\n\n{near}\nshort line"), (1, f"{long}\n  ALPHA, beta!\nx"), (3, None), (4, ""), (5, f"{long}\n{long}\n"),
+        (6, "alpha beta gamma"), (7, "...\n...\nalpha  beta"), (8, "end\r\nend"), (None, "short LINE\nnull id"),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, line string").repartition(3)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in find_repeated_lines(docs).collect()}
+    assert got == {
+        None: (2, 0, "short LINE\nnull id"), 1: (3, 0, f"{long}\n  ALPHA, beta!\nx"), 2: (4, 3, ""), 3: (0, 0, None),
+        4: (1, 0, ""), 5: (3, 2, ""), 6: (1, 0, "alpha beta gamma"), 7: (3, 1, "...\n..."), 8: (2, 1, "end\r"),
+    }
+
+
+def test_crowds_of_near_lines_and_very_long_lines(spark):
+    """More variants than any choice of blocks compares at once, words beyond one byte's count."""
+    words = made_up(3, 400).split()
+    rows = []
+    for i in range(60):
+        mine = list(words)
+        mine[5 * i] = f"v{i}"
+        rows.append((i, " ".join(mine) + f"\nown line {i} " + made_up(100 + i, 20)))
+    got = {r.doc_id: r.n_removed for r in find_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == 0 and sum(got.values()) >= 55 and max(got.values()) == 1
