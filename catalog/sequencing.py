@@ -38,9 +38,9 @@ def entries(spark, sf_dir):
     return number_rows(stacked, [], ["type", "code", "val_start", "text"], "index")
 
 
-def vocabulary(spark, sf_dir):
+def vocabulary(spark, sf_dir, unused=0):
     listed = cut_lineage(entries(spark, sf_dir))
-    return concepts.load_vocabulary(listed, listed.count() - _UNUSED_ENTRIES)
+    return concepts.load_vocabulary(listed, listed.count() - unused)
 
 
 def closure(spark, sf_dir):
@@ -64,7 +64,7 @@ candidates AS (
 entries AS (
   SELECT *, row_number() OVER (ORDER BY type, code, val_start, text) - 1 AS index, -length(code) / 10.0 AS weight
   FROM candidates),
-vocab AS (SELECT * FROM entries WHERE index < (SELECT count(*) FROM entries) - 5),
+vocab AS (SELECT * FROM entries),
 closure AS (
   SELECT code, unnest([code, event_type, 'ANY']) AS ancestor FROM codes
   UNION SELECT event_type, unnest([event_type, 'ANY']) FROM codes),
@@ -93,12 +93,11 @@ placed AS (
   FROM leaves),
 births AS (SELECT subject_id, min(time) AS birth FROM coded WHERE code = 'MEDS_BIRTH' GROUP BY ALL),
 cells AS (
-  SELECT placed.*, birth, chunk, p - chunk * 8 AS position,
+  SELECT c.*, birth, p - chunk * 8 AS position,
          dense_rank() OVER (ORDER BY subject_id, chunk) - 1 AS sequence_id,
          date_sub('minute', birth, time) / 1440.0::DOUBLE AS age
-  FROM placed JOIN births USING (subject_id)
-  JOIN (SELECT unnest(range(0, 5000)) AS chunk) c
-    ON p >= chunk * 8 AND p < chunk * 8 + 16 AND (chunk = 0 OR (chunk - 1) * 8 + 16 < n)),
+  FROM (SELECT *, unnest([p // 8 - 1, p // 8]) AS chunk FROM placed) c JOIN births USING (subject_id)
+  WHERE chunk = 0 OR chunk > 0 AND (chunk - 1) * 8 + 16 < n),
 landmarks AS (
   SELECT l.subject_id, l.prediction_time, l.boolean_value, e.p
   FROM labelled l ASOF JOIN placed e ON l.subject_id = e.subject_id AND l.prediction_time >= e.time),
@@ -124,13 +123,16 @@ ON b.type = 1 AND b.code = c.code AND c.numeric_value >= b.val_start AND c.numer
 def bin_tokens(spark, sf_dir):
     """Value bins alone."""
     full = vocabulary(spark, sf_dir)
-    only_bins = full._replace(codes=full.codes.limit(0), texts=full.texts.limit(0))
+    only_bins = full._replace(codes=full.codes.filter("false"), texts=full.texts.filter("false"))
     return tokens.leaf_tokens(coded_events(spark, sf_dir), only_bins).select("ordinal", "index")
 
 
-@query("vocabulary_weights", with_sql(VOCABULARY) + "SELECT code, CAST(min(weight) AS DOUBLE) AS weight FROM vocab GROUP BY code")
+@query("vocabulary_weights", with_sql(VOCABULARY) + """
+SELECT code, CAST(min(weight) AS DOUBLE) AS weight FROM vocab
+WHERE index < (SELECT count(*) FROM entries) - 5 GROUP BY code
+""")
 def vocabulary_weights(spark, sf_dir):
-    return vocabulary(spark, sf_dir).tokens
+    return vocabulary(spark, sf_dir, _UNUSED_ENTRIES).tokens
 
 
 @query("bin_faults", """
@@ -151,7 +153,7 @@ def bin_faults(spark, sf_dir):
     upper = ranges.select(
         code, (F.col("mid") + F.col("n") % 2).alias("val_start"), (F.col("hi") + 1).alias("val_end"), F.lit(1).alias("index")
     )
-    return concepts.bin_faults(lower.unionByName(upper)).filter("val_start < next_start").select(
+    return concepts.bin_faults(lower.unionByName(upper)).select(
         "code", "val_start", "val_end", "next_start"
     )
 
@@ -282,7 +284,7 @@ def pack_labels(spark, sf_dir):
 @query("embedding_sum", """
 SELECT user_id AS position, dim - 1 AS dim, round(sum(v), 5) AS total FROM (
   SELECT e.user_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS dim
-  FROM events e JOIN embeddings m ON m.vec_id = CAST(e.props ->> '$.k' AS BIGINT))
+  FROM events e LEFT JOIN embeddings m ON m.vec_id = CAST(e.props ->> '$.k' AS BIGINT))
 GROUP BY ALL
 """)
 def embedding_sum(spark, sf_dir):

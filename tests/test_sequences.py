@@ -60,6 +60,20 @@ def test_sum_embeddings(frame):
         (0, [11.0, 22.0]), (1, [0.0, 0.0]), (2, [20.0, 40.0])]
 
 
+def test_sums_of_wide_embeddings(frame):
+    pairs = frame("token bigint, position bigint", [(0, 0), (1, 0), (1, 1)])
+    rows = [(t, [float(t * 1000 + i) for i in range(150)]) for t in (0, 1)]
+    got = rows_of(tokens.sum_embeddings(pairs, frame("token bigint, embedding array<double>", rows), 150))
+    assert got == [(0, [1000.0 + 2 * i for i in range(150)]), (1, [1000.0 + i for i in range(150)])]
+
+
+@pytest.mark.parametrize("table", [[(1, [1.0, 2.0])], [(0, [1.0]), (1, [1.0, 2.0])], [(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0])], [(0, None)]])
+def test_unknown_tokens_and_wrong_lengths_are_refused(frame, table):
+    pairs = frame("token bigint, position bigint", [(0, 0), (1, 0)])
+    with pytest.raises(Exception, match="no vector of 2 numbers for token 0|no vector of 2 numbers for token 1"):
+        tokens.sum_embeddings(pairs, frame("token bigint, embedding array<double>", table), 2).collect()
+
+
 EVENTS = "subject_id bigint, time timestamp_ntz, index bigint, ordinal bigint"
 
 

@@ -257,3 +257,13 @@ def test_labels_refuse_stranded_admissions_and_missing_inputs(spark, coded, tmp_
     with pytest.raises(FileNotFoundError):
         training.run_rewrite(spark, coded["events"], str(tmp_path / "r"), concept_map=coded["closure"], concept=str(tmp_path / "no"))
     assert not (tmp_path / "labels").exists() and not (tmp_path / "r").exists()
+
+
+@pytest.mark.parametrize("row", ["3,4,5", "6"])
+def test_ragged_rows_are_refused(spark, tmp_path, row):
+    (tmp_path / "t.csv").write_text(f"a,b\n1,2\n{row}\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILED_READ_FILE"):
+        readers.read_text_table(spark, str(tmp_path / "t.csv")).select("a").collect()
+    (tmp_path / "t.tsv").write_text("a\tb\n1\t2\n" + row.replace(",", "\t") + "\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILED_READ_FILE"):
+        readers.read_vocabulary_export(spark, str(tmp_path / "t.tsv")).select("a").collect()

@@ -238,7 +238,7 @@ class EventProfile:
             low, high = rows.agg(F.min(col(unit_field)), F.max(col(unit_field))).first()
             if low != high:
                 units = rows.select(col(unit_field)).filter(col(unit_field).isNotNull()).distinct()
-                raise MixedUnitsError(sorted(r[0] for r in units.limit(20).collect()))
+                raise MixedUnitsError(sorted(r[0] for r in units.collect()))
             unit = low
         return NumericSummary(describe_numbers(rows, field), unit)
 

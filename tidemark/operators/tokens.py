@@ -76,8 +76,8 @@ def expand_tokens(events: DataFrame, expansion: DataFrame, position: str = "posi
     return events.join(small_side(expansion), "index").select("token", position)
 
 
-# A table of embeddings is broadcast up to this many numbers.
-_BROADCAST_NUMBERS = 100_000_000
+# Sums per aggregation; wider vectors are summed in stretches of this many dimensions.
+_STRETCH = 64
 
 
 def sum_embeddings(
@@ -90,7 +90,8 @@ def sum_embeddings(
     """Sum the embedding rows of each position into one array.
 
     One running sum per dimension combines before the shuffle, so a position shared by very many
-    pairs costs no more than any other.
+    pairs costs no more than any other. A token without a vector, and a vector that is not ``dims``
+    long, fail the query when their row is met.
 
     Args:
         pairs: ``token`` and the position column.
@@ -99,11 +100,22 @@ def sum_embeddings(
         position: name of the position column.
         positions: if given, the positions wanted; those without pairs get zeros.
     """
+    vector = F.when(F.size("embedding") == dims, F.col("embedding")).otherwise(
+        F.raise_error(F.concat(F.lit(f"no vector of {dims} numbers for token "), F.coalesce(F.col("token").cast("string"), F.lit("null"))))
+    )
+    starts = range(0, dims, _STRETCH)
+    stretches = F.array(*[
+        F.struct(F.lit(s).alias("start"), F.slice("vector", s + 1, min(_STRETCH, dims - s)).alias("part")) for s in starts
+    ])
     sums = (
-        pairs.join(small_side(table.select("token", "embedding"), _BROADCAST_NUMBERS // dims), "token")
+        pairs.join(small_side(table.select("token", "embedding")), "token", "left")
+        .select(position, vector.alias("vector"))
+        .select(position, F.inline(stretches))
+        .groupBy(position, "start")
+        .agg(*[F.sum(F.get("part", F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(min(dims, _STRETCH))])
         .groupBy(position)
-        .agg(*[F.sum(F.get("embedding", F.lit(i)).cast("double")).alias(f"_d{i}") for i in range(dims)])
-        .select(position, F.array(*[f"_d{i}" for i in range(dims)]).alias("vector"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", F.array(*[f"_d{i}" for i in range(min(dims, _STRETCH))]).alias("sums")))).alias("lots"))
+        .select(position, F.slice(F.flatten(F.transform("lots", lambda lot: lot.sums)), 1, dims).alias("vector"))
     )
     if positions is None:
         return sums

@@ -6,9 +6,12 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A lookup is sent to every executor only after it is known to hold no more rows than this.
-BROADCAST_ROW_LIMIT = 1_000_000
+from tidemark.functions.expressions import col
+
+# A lookup is sent to every executor only after it is known to take no more bytes than this.
+BROADCAST_BYTE_LIMIT = 64 << 20
 
 
 # What the operators expect of any session.
@@ -62,12 +65,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """Whether ``df`` has at most ``limit`` rows, counting no more than one row beyond."""
-    return df.limit(limit + 1).count() <= limit
+def held_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` take, summed where they are."""
+    width = F.lit(16)
+    for field in df.schema.fields:
+        name, kind = col(field.name), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(name) + 16
+        elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.ArrayType, T.MapType)):
+            size = F.size(name) * 16 + 24
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.to_json(name)) + 64
+        else:
+            size = F.lit(8)
+        width = width + F.coalesce(size, F.lit(8)).cast("long")
+    return df.agg(F.sum(width)).first()[0] or 0
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTE_LIMIT) -> bool:
+    """Whether ``df`` takes at most ``limit`` bytes; only one number per partition is shuffled."""
+    return held_bytes(df) <= limit
 
 
-def small_side(lookup: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def small_side(lookup: DataFrame, limit: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
     """Mark ``lookup`` for broadcast if it really is small, else leave the join to Spark.
 
     A larger lookup keeps its plain form and is joined by sort-merge, where adaptive execution

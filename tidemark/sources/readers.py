@@ -22,16 +22,22 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """A comma-separated file (may be gzipped) with a header, every column as text."""
-    return spark.read.csv(path, header=True, inferSchema=False, escape='"')
+    """A comma-separated file (may be gzipped) with a header, every column as text.
+
+    A row with more or fewer values than the header is refused when it is read. Whole rows are parsed
+    for that, whatever columns are asked for.
+    """
+    return spark.read.option("columnPruning", False).csv(path, header=True, inferSchema=False, escape='"', mode="FAILFAST")
 
 
 def read_vocabulary_export(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated vocabulary export, every column as text.
 
-    Names in it carry stray quotes, so quoting is off.
+    Names in it carry stray quotes, so quoting is off. Ragged rows are refused.
     """
-    return spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False)
+    return spark.read.option("columnPruning", False).csv(
+        path, sep="\t", header=True, quote="", inferSchema=False, mode="FAILFAST"
+    )
 
 
 def read_raw_table(spark: SparkSession, root: str, name: str, table: fixed.RawTable) -> DataFrame:
