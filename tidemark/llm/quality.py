@@ -162,8 +162,11 @@ def judge_quality(
     each = staged(
         keyed(docs, id_col, text_col).mapInArrow(_statistics, f"doc long, th long, id {id_type}, {counts}")
     ).withColumn("base_failed", failed)
+    able = each.filter(~F.col("base_failed"))
+    # One share of about twice the pool by hash, so that no more than that goes anywhere.
+    shares = max(1, able.count() // (2 * pool))
     drawn = (
-        each.filter(~F.col("base_failed"))
+        able.filter(F.pmod(F.xxhash64("doc", "th", F.lit(-seed)), F.lit(shares)) == 0)
         .orderBy(F.xxhash64("doc", "th", F.lit(seed)), "doc", "th")
         .limit(pool)
         .select(*COUNTS)
