@@ -4,10 +4,11 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import awkward_texts, made_up
 from tidemark.llm.components import connected_components
-from tidemark.llm.line_dedup import find_repeated_lines
+from tidemark.llm.line_dedup import _within, find_repeated_lines
 from tidemark.llm.simhash import links_within_two_bits, near_duplicates
 
 
@@ -104,3 +105,28 @@ def test_crowds_of_near_lines_and_very_long_lines(spark):
         rows.append((i, " ".join(mine) + f"\nown line {i} " + made_up(100 + i, 20)))
     got = {r.doc_id: r.n_removed for r in find_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == 0 and sum(got.values()) >= 55 and max(got.values()) == 1
+
+
+def fewest_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edits_within_a_limit(spark):
+    pick = random.Random(3)
+    rows = []
+    for _ in range(1500):
+        x = [pick.choice(["a", "bb", "ccc", "dé", "eeee"]) for _ in range(pick.randint(1, 9))]
+        y = list(x)
+        for _ in range(pick.randint(0, 3)):
+            at = pick.randrange(len(y))
+            y[at : at + pick.randint(0, 1)] = [pick.choice(["a", "bb", "zz"])] * pick.randint(0 if len(y) > 1 else 1, 1)
+        allowed = pick.randint(0, 8)
+        rows.append((x, y, allowed, fewest_edits(" ".join(x), " ".join(y)) <= allowed))
+    table = spark.createDataFrame(rows, "x array<string>, y array<string>, allowed int, wanted boolean")
+    assert table.filter(_within(F.col("x"), F.col("y"), F.col("allowed")) != F.col("wanted")).count() == 0
