@@ -130,3 +130,26 @@ def test_edits_within_a_limit(spark):
         rows.append((x, y, allowed, fewest_edits(" ".join(x), " ".join(y)) <= allowed))
     table = spark.createDataFrame(rows, "x array<string>, y array<string>, allowed int, wanted boolean")
     assert table.filter(_within(F.col("x"), F.col("y"), F.col("allowed")) != F.col("wanted")).count() == 0
+
+
+def test_lines_with_changed_words_are_found(spark):
+    """Lines of 5 to 100 words, words changed up to an edit similarity of 0.8; one line of each pair goes."""
+    pick = random.Random(8)
+    rows, lengths = [], []
+    for i in range(200):
+        x = [f"{pick.randrange(10**pick.randint(1, 6))}" for _ in range(pick.randint(5, 100))]
+        y = list(x)
+        while True:
+            z = list(y)
+            z[pick.randrange(len(z))] = f"{pick.randrange(10**pick.randint(1, 6))}"
+            most = max(len(" ".join(x)), len(" ".join(z)))
+            if fewest_edits(" ".join(x), " ".join(z)) > most // 5:
+                break
+            y = z
+            if pick.random() < 0.1:
+                break
+        if x != y:
+            lengths.append(len(x))
+            rows += [(2 * i, " ".join(x)), (2 * i + 1, " ".join(y))]
+    gone = sum(r.n_removed for r in find_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(lengths) > 150 and gone >= 0.98 * len(lengths)
