@@ -153,3 +153,16 @@ def test_lines_with_changed_words_are_found(spark):
             rows += [(2 * i, " ".join(x)), (2 * i + 1, " ".join(y))]
     gone = sum(r.n_removed for r in find_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert len(lengths) > 150 and gone >= 0.98 * len(lengths)
+
+
+def test_edits_of_long_lines_with_insertions(spark):
+    """Lines of 65 to 500 words with words put in near the head and one changed at the end."""
+    pick = random.Random(11)
+    rows = []
+    for n, more in [(65, 1), (65, 8), (90, 8), (130, 12), (200, 8), (200, 16), (200, 48), (320, 24), (500, 12)]:
+        x = [f"{pick.randrange(10**pick.randint(1, 4))}" for _ in range(n)]
+        y = [x[0]] + [f"{pick.randrange(1000)}" for _ in range(more)] + x[1:-1] + ["other"]
+        edits = fewest_edits(" ".join(x), " ".join(y))
+        rows += [(x, y, edits + d, d >= 0) for d in (-1, 0, 5)]
+    table = spark.createDataFrame(rows, "x array<string>, y array<string>, allowed int, wanted boolean")
+    assert table.filter(_within(F.col("x"), F.col("y"), F.col("allowed")) != F.col("wanted")).count() == 0
