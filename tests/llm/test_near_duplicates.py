@@ -166,3 +166,28 @@ def test_edits_of_long_lines_with_insertions(spark):
         rows += [(x, y, edits + d, d >= 0) for d in (-1, 0, 5)]
     table = spark.createDataFrame(rows, "x array<string>, y array<string>, allowed int, wanted boolean")
     assert table.filter(_within(F.col("x"), F.col("y"), F.col("allowed")) != F.col("wanted")).count() == 0
+
+
+def test_crowds_of_lines_of_the_same_words(spark):
+    """Orders of one set of words have equal fingerprints; each has one partner with two words exchanged."""
+    pick = random.Random(12)
+    words = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)]
+    rows = []
+    for i in range(150):
+        x = pick.sample(words, 40)
+        at = pick.randrange(39)
+        rows += [(i, " ".join(x)), (1000 + i, " ".join(x[:at] + [x[at + 1], x[at]] + x[at + 2 :]))]
+    got = {r.doc_id: r.n_removed for r in find_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k, n in sorted(got.items()) if n] == list(range(1000, 1150))
+
+
+def test_crowds_lose_no_line(spark):
+    """All of 60 lines that differ in one or two of 400 words are one group."""
+    words = made_up(3, 400).split()
+    rows = []
+    for i in range(60):
+        mine = list(words)
+        mine[5 * i] = f"v{i}"
+        rows.append((i, " ".join(mine)))
+    got = {r.doc_id: r.n_removed for r in find_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i > 0) for i in range(60)}
