@@ -191,3 +191,24 @@ def test_crowds_lose_no_line(spark):
         rows.append((i, " ".join(mine)))
     got = {r.doc_id: r.n_removed for r in find_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: int(i > 0) for i in range(60)}
+
+
+def test_documents_alike_by_shingles(spark):
+    """Planted copies with words changed, against the similarity of all pairs."""
+    pick = random.Random(14)
+    texts = []
+    for i in range(40):
+        words = made_up(200 + i, pick.randint(60, 400), 3000).split()
+        texts.append(" ".join(words))
+        for _ in range(2):
+            copy = list(words)
+            for _ in range(pick.randint(1, max(1, len(words) // 25))):
+                copy[pick.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    want = groups(range(len(texts)), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, width=5, similarity=0.8).collect()}
+    assert len(links) > 20 and got == want
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, width=5).collect()} != want
