@@ -63,6 +63,18 @@ def test_main_text():
     assert main_text(f"<article><p>{'x y ' * 50_000}</p></article>") == ("x y " * 50_000).strip()
 
 
+def test_article_mark_is_no_verdict():
+    links = "".join(f'<li><a href="{i}">One more page of the many that are here {i}</a></li>' for i in range(3))
+    card = '<article><a href="x">A teaser of another page that you may want to read as well</a></article>'
+    assert main_text(f"<body><div><p>{PROSE}</p><p>{PROSE}</p></div>{card}</body>") == f"{PROSE} {PROSE}"
+    inside = f"<article><h1><a href='/'>Title</a></h1><p>{PROSE}</p><ul>{links}</ul><p>{PROSE}</p><ul>{links}<li>more</li>{links}</ul></article>"
+    assert main_text(PAGE.format(main=inside, comment=COMMENT)) == f"Title {PROSE} {PROSE}"
+    finnish = "Talo seisoo korkealla kukkulalla, josta näkyy koko laakso sekä kaukainen järvi metsän takana."
+    other = f"<article><h1>Talo</h1><p>{finnish}</p><p>Niin.</p><p>{finnish}</p></article>"
+    assert main_text(PAGE.format(main=other, comment=COMMENT)) == f"Talo {finnish} Niin. {finnish}"
+    assert main_text(PAGE.format(main="<article><p>Short.</p></article>", comment=COMMENT)) == "Short."
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article>{PROSE}</article>", "q"), (2, None, None, "q"), (2, None, None, "q"), (None, "v", "", "q")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -2,10 +2,10 @@
 
 A page is cut into blocks at block-level tags. The first pass decides on a block by itself: what
 stands in navigation, forms, asides, notices, comments and the like is boilerplate; what is mostly
-links is boilerplate; long blocks with many stop words are text; very short ones are undecided. In the
-second pass, undecided blocks take the label that their nearest decided neighbours agree on; where
-they disagree the block is boilerplate, unless the page marks it as part of its article or it is a
-heading of text.
+links is boilerplate; long blocks with many stop words are text; very short ones are undecided. That a block is
+in the page's article is a weight there, no verdict. In the second pass, undecided blocks take the label that
+their nearest decided neighbours (on the same side of an article's edge) agree on; where they disagree or there
+are none the block is boilerplate, unless the page marks it as part of its article or it is a heading of text.
 """
 
 from __future__ import annotations
@@ -178,36 +178,46 @@ TEXT, BOILERPLATE, UNDECIDED = 1, 0, -1
 
 
 def classify(blocks: list[Block], short: int = 60, stop_density: float = 0.12, link_density: float = 0.4) -> list[bool]:
-    """Whether each block is main text."""
-    marked = any(b.article and not b.bad for b in blocks)
-    labels = []
+    """Whether each block is main text. The article mark halves the stop words asked for and allows half as many links again."""
+
+    def linked(block: Block) -> bool:
+        return block.linked > link_density * (1.5 if block.article else 1) * len(block.text)
+
+    counts = []
     for block in blocks:
-        if block.bad or (marked and not block.article):
+        words = [w.lower() for w in _WORD.findall(block.text)]
+        counts.append((sum(w in STOP_WORDS for w in words), max(1, len(words))))
+    # Where an article as a whole has few stop words, it is in a language whose words are not known.
+    read = [c for b, c in zip(blocks, counts) if b.article and not b.bad and not linked(b) and len(b.text) >= short]
+    foreign = sum(n for n, _ in read) < stop_density / 2 * sum(m for _, m in read)
+    labels = []
+    for block, (stops, words) in zip(blocks, counts):
+        if block.bad:
             labels.append(BOILERPLATE)
-        elif block.linked > link_density * len(block.text):
-            labels.append(UNDECIDED if block.article else BOILERPLATE)
+        elif linked(block):
+            labels.append(UNDECIDED if block.article and block.heading else BOILERPLATE)
         else:
-            words = [w.lower() for w in _WORD.findall(block.text)]
-            dense = sum(w in STOP_WORDS for w in words) >= stop_density * max(1, len(words))
-            long = len(block.text) >= short
-            labels.append(TEXT if long and (dense or block.article) else UNDECIDED)
-    before: list[int] = []
-    last = UNDECIDED
-    for label in labels:
-        last = label if label != UNDECIDED else last
-        before.append(last)
-    after: list[int] = []
-    last = UNDECIDED
-    for label in reversed(labels):
-        last = label if label != UNDECIDED else last
-        after.append(last)
-    after.reverse()
+            dense = stops >= stop_density * (0.5 if block.article else 1) * words
+            labels.append(TEXT if len(block.text) >= short and (dense or block.article and foreign) else UNDECIDED)
+
+    def nearest(order: list[tuple[Block, int]]) -> list[int]:
+        # What stands on the other side of an article's edge says nothing.
+        found, last, inside = [], UNDECIDED, False
+        for block, label in order:
+            if block.article != inside:
+                last, inside = UNDECIDED, block.article
+            last = label if label != UNDECIDED else last
+            found.append(last)
+        return found
+
+    both = list(zip(blocks, labels))
+    before, after = nearest(both), nearest(both[::-1])[::-1]
     kept = []
-    for block, label, a, b in zip(blocks, labels, before, after):
+    for block, label, a, b in zip(blocks, labels, after, before):
         if label == UNDECIDED:
             near = {x for x in (a, b) if x != UNDECIDED}
             # Nothing but its neighbours speaks for a block outside the article.
-            kept.append(block.article or near == {TEXT} or block.heading and b == TEXT)
+            kept.append(near == {TEXT} or block.article and near != {BOILERPLATE} or block.heading and a == TEXT)
         else:
             kept.append(label == TEXT)
     return kept
