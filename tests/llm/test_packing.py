@@ -77,3 +77,21 @@ def test_odd_blanks_and_marks(spark):
     for i, t in enumerate(texts):
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
         assert got[i] == b"".join(x.to_bytes(4, "little") for x in ids)
+
+
+def test_added_tokens_get_their_ids():
+    """The ``tokenizers`` form at its default reads the literal of an added token as that token."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import Encoder
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x\n{end}\ny, {end}. z", f"two  {end}  blanks", f"word{end}word <|endoftext |>", "<|endof", "none at all."]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    ids, bounds = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode(data, offsets)
+    got = [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]

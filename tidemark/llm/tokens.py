@@ -4,13 +4,17 @@ The vocabulary's splitting rule never joins what stands on both sides of a singl
 between ordinary characters, or of a full stop or comma after a letter. Texts are cut there, equal
 stretches are found by hash (two hashes of 64 bits must agree), and only stretches not seen before are
 encoded. The ranks of the merges come from the vocabulary file in its ``tiktoken`` form, which encodes
-single stretches several times faster than the ``tokenizers`` form and to the same ids.
+single stretches several times faster than the ``tokenizers`` form and to the same ids. Added tokens, such as the
+end of a text, are read from the ``json`` form beside it; their literals have no place to cut and get their ids.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from array import array
+from functools import partial
+from pathlib import Path
 
 import numpy as np
 
@@ -45,6 +49,14 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin[:n])
 
 
+def _added(path: str) -> dict[str, int]:
+    """The added tokens of the vocabulary's ``json`` form, if it lies beside the ranks."""
+    form = Path(path).with_suffix(".json")
+    if not form.exists():
+        return {}
+    return {t["content"]: t["id"] for t in json.loads(form.read_text(encoding="utf-8")).get("added_tokens", [])}
+
+
 class Encoder:
     """Encodes slices of documents; keeps the ids of stretches it has seen, up to a bound."""
 
@@ -53,7 +65,8 @@ class Encoder:
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        self.encode_one = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=_added(path))
+        self.encode_one = partial(encoding.encode, allowed_special="all")
         self.seen: dict[bytes, bytes] = {}
 
     def _encode(self, stretches: list[bytes]) -> list[bytes]:
