@@ -168,6 +168,8 @@ def merge(kind: str, here: Column, before: Column) -> Column:
         return F.greatest(here, before)
     if kind == "last":
         return F.coalesce(here, before)
+    if kind == "bit_xor":
+        return F.coalesce(here.bitwiseXOR(before), here, before)
     return F.coalesce(here + before, here, before)
 
 
@@ -190,7 +192,7 @@ def running(
         keys: grouping columns; none means one order over the whole frame. Null is a key.
         order: sort columns, ascending. Rows equal in all of them stay in one task, so include
             a tie-break where many rows may share the rest.
-        aggregates: new column -> (kind, value), kind being min, max, sum, count or last.
+        aggregates: new column -> (kind, value), kind being min, max, sum, count, bit_xor or last.
             All kinds pass over null values; ``last`` is the nearest value that is set.
         reverse: run from the end of the order to its start.
         exclusive: leave the row itself out.
