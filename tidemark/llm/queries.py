@@ -12,6 +12,7 @@ from tidemark.llm.html_text import extract_main_text
 from tidemark.llm.line_dedup import find_repeated_lines
 from tidemark.llm.licences import find_licences, known_licences
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.prefix_trie import continued, prefix_trie, turn_digests
 from tidemark.llm.pseudonyms import replace_personal_data
 from tidemark.llm.quality import COUNTS, judge_quality
 from tidemark.llm.secrets import KINDS, find_secrets
@@ -119,3 +120,53 @@ def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = find_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = continued(turn_digests(table(spark, sf_dir, "conversations")))
+    return prefix_trie(turns, convs)
+
+
+# CRC-32 of an ASCII text, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)),
+    lambda c, b: list_reduce(
+        list_prepend(xor(c, b), range(8)),
+        lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH own AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 100 AS base, {_CRC32.format("(c::VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM own)),
+sized AS (
+    SELECT c, base, h, least(h, (SELECT count(*) FROM own AS b WHERE b.c = convs.base)) AS taken FROM convs),
+rebuilt AS (
+    SELECT s.c, o.pos AS depth, o.role, o.text FROM sized AS s JOIN own AS o ON o.c = s.base AND o.pos <= s.h
+    UNION ALL
+    SELECT s.c, o.pos - s.h + s.taken, o.role, o.text FROM sized AS s JOIN own AS o ON o.c = s.c AND o.pos > s.h),
+turns AS (
+    SELECT c, depth, length(text) AS chars, count(*) OVER (PARTITION BY c) AS n,
+        list(struct_pack(r := role, t := text)) OVER (
+            PARTITION BY c ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path
+    FROM rebuilt),
+members AS (
+    SELECT c, depth, chars, n, path FROM turns
+    UNION ALL
+    SELECT c, 0, 0, (SELECT count(*) FROM rebuilt AS r WHERE r.c = convs.c), [] FROM convs),
+nodes AS (
+    SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+        string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth) AS ends
+    FROM members GROUP BY depth, path),
+children AS (SELECT path[:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+below AS (
+    SELECT top.path, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved, count(*) FILTER (n.n_children = 0) AS leaves
+    FROM full_nodes AS n, unnest(range(0, n.depth + 1)) AS u(d) JOIN nodes AS top ON top.path = n.path[:d] GROUP BY top.path)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, below.leaves AS n_leaves,
+    below.saved AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_nodes AS n JOIN below USING (path)
+LEFT JOIN nodes AS p ON n.depth > 0 AND p.path = n.path[:n.depth - 1]
+"""
