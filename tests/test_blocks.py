@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import hours, rows_of
 from tidemark.operators.align import asof_backfill, asof_join
-from tidemark.operators.blocks import _with_block, number_rows, running, split_points
+from tidemark.operators.blocks import cut_tree, heavy_splits, number_rows, place_in_blocks, running, split_points
 from tidemark.operators.rolling import trailing
 
 SCHEMA = "k string, t timestamp_ntz, id bigint, v double"
@@ -32,20 +32,39 @@ def skewed(frame):
 
 
 def test_heavy_key_is_cut_and_small_keys_are_not(skewed):
-    cuts = {r["k"]: r["_cuts"] for r in split_points(skewed, ["k"], ["t", "id"], 40).collect()}
-    assert len(cuts["hot"]) >= 2
+    cuts = [r["k"] for r in split_points(skewed, ["k"], ["t", "id"], 60).collect()]
+    assert set(cuts) == {"hot"} and len(cuts) >= 2
     assert split_points(skewed, ["k"], ["t", "id"]).count() == 0
-
-
-def test_blocks_count_the_cuts_at_or_below(frame):
-    """More cuts than a slice holds, with rows before the first and after the last."""
-    cut_at = list(range(10, 10 + 2 * 150, 2))
-    splits = frame("k string, _cuts array<struct<id:bigint>>", [("hot", [(c,) for c in cut_at])])
-    rows = frame("k string, id bigint", [("hot", i) for i in range(330)] + [("cold", 50), (None, 50)])
-    got = _with_block(rows, splits, ["k"], ["id"], "left")
-    want = [("hot", i, sum(c <= i for c in cut_at)) for i in range(330)] + [("cold", 50, 0), (None, 50, 0)]
-    assert rows_of(got, "k", "id", "_block") == rows_of_list(want)
-    assert _with_block(rows, splits, ["k"], ["id"], "inner").count() == 330
+    assert heavy_splits(skewed, ["k"], ["t", "id"]) is None
+
+
+@pytest.mark.parametrize("n", [5, 150, 64 * 64 + 70])
+def test_blocks_count_the_cuts_at_or_below(frame, n):
+    """One to three levels of cuts, with rows before the first and after the last."""
+    cut_at = list(range(10, 10 + 2 * n, 2))
+    cuts = frame("k string, _cut struct<id:bigint>, _rank bigint", [("hot", (c,), i + 1) for i, c in enumerate(cut_at)])
+    splits = cut_tree(cuts, ["k"])
+    assert len(splits.levels) == 1 + (n > 64) + (n > 64 * 64)
+    ids = range(0, 2 * n + 30, 1 if n < 1000 else 7)
+    rows = frame("k string, id bigint", [("hot", i) for i in ids] + [("cold", 50), (None, 50)])
+    got = place_in_blocks(rows, splits, ["k"], ["id"], begins="first")
+    known = set(cut_at)
+    want = [("hot", i, sum(c <= i for c in cut_at), i in known) for i in ids] + [("cold", 50, 0, False), (None, 50, 0, False)]
+    assert rows_of(got, "k", "id", "_block", "first") == rows_of_list(want)
+    assert place_in_blocks(rows, splits, ["k"], ["id"], "inner").count() == len(ids)
+
+
+def test_blocks_are_even(spark):
+    """Nine rows in ten on one key, and a key with a crowd at few moments."""
+    rows = spark.range(100_000, numPartitions=6).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("k"),
+        F.xxhash64("id").alias("at"),
+    )
+    splits = heavy_splits(rows, ["k"], ["at"], 1000)
+    sizes = [r["count"] for r in place_in_blocks(rows, splits, ["k"], ["at"], "inner").groupBy("_block").count().collect()]
+    assert sum(sizes) == 90_000 and len(sizes) > 60 and max(sizes) <= 3000
+    crowd = spark.range(20_000, numPartitions=6).select(F.lit("a").alias("k"), (F.col("id") % 50).alias("at"))
+    assert heavy_splits(crowd, ["k"], ["at"], 5_000) is not None
 
 
 @pytest.mark.parametrize("rows_per_block", [3, 25, 10**6])

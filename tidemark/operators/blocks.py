@@ -2,13 +2,17 @@
 
 A plain Spark window sends a whole key to one task. Here a heavy key is first cut into blocks,
 contiguous in the sort order, and the windows run per (key, block). What earlier blocks add is
-one small row per block; it is folded separately and broadcast back.
+one small row per block; it is folded separately and joined back.
 
-Where to cut is read from the data: rows whose hash falls on one value in ``rows_per_block``
-become the cut points of their key, so a key of n rows gets about n / rows_per_block cuts and an
-ordinary key gets none. The choice depends on nothing but the data, so every reading of the plan
-finds the same blocks, also after an executor is lost. Cuts only decide the parallelism; the
-result is the same with any of them.
+Where to cut is read from a sample of rows, ``_DRAWN`` for every block: a key is heavy if it has
+two blocks' worth of them, and a cut is made wherever a block's worth has gone by. Rows count, not
+distinct places, so a key with many rows at few moments is seen too. The cuts that are used are
+written down once, so every reading of the plan and every retry finds the same blocks. Cuts only
+decide the parallelism; the result is the same with any of them.
+
+There are as many cuts as the data ask for. They form a tree: a row finds its place among at most
+``_FAN`` cuts a level, coarse ones first. A level is broadcast only if its counted size allows;
+otherwise the rows of heavy keys are joined to it by (key, coarse place).
 
 Looking for heavy keys reads the key and order columns once while the query is being built. When
 there are none, which is the usual case, what is returned is the plain window.
@@ -17,130 +21,169 @@ there are none, which is the usual case, what is returned is the plain window.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import col, count_at_or_below
-from tidemark.session import cut_lineage
+from tidemark.functions.expressions import col, count_at_or_below, floor_div
+from tidemark.session import cut_lineage, is_small
 
 ROWS_PER_BLOCK = 1_000_000
-# Bounds on what is broadcast. Leaving out cuts makes blocks larger, never results different.
-MAX_CUTS = 200_000
-MAX_CUTS_PER_KEY = 4_096
-# A row of a heavy key is joined to at most two lists of this many cuts, not to all of them.
-_SLICE = 64
-_MIN_CUTS = 2
+# Rows drawn for every block: the more, the more even the blocks.
+_DRAWN = 16
+_SEED = 20
+# Cuts in one node of the tree. The list found by a join is copied into every row, so it is short.
+_FAN = 64
 
 _EVERYTHING = "_everything"
 _LOOK = "look"
 
 
+@dataclass(frozen=True)
+class Level:
+    """One level of the tree of cuts: per key and node, the first cuts of its branches."""
+
+    nodes: DataFrame
+    small: bool
+
+
+@dataclass(frozen=True)
+class Splits:
+    """The heavy keys of a frame and where they are cut, coarsest level first."""
+
+    keys: DataFrame
+    levels: tuple[Level, ...]
+
+
 def split_points(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     rows_per_block: int | None = None,
 ) -> DataFrame:
-    """One row per heavy key: the key columns and ``_cuts``, its ascending cut points."""
+    """The cuts of heavy keys: the key columns, ``_rank`` from 1, and ``_cut``, where a block begins."""
     rows_per_block = rows_per_block or ROWS_PER_BLOCK
-    mark = F.xxhash64(*[col(c) for c in (*keys, *order)])
-    cut_rows = (
-        df.select(
-            *[col(k) for k in keys],
-            F.struct(*[col(o) for o in order]).alias("_cut"),
-            mark.alias("_mark"),
-        )
-        .filter(F.pmod(F.col("_mark"), F.lit(rows_per_block)) == 0)
-        .distinct()
-        .orderBy("_mark", "_cut", *[col(k) for k in keys])
-        .limit(MAX_CUTS)
-    )
-    cuts = cut_rows.groupBy(*[col(k) for k in keys]).agg(
-        F.array_sort(F.collect_set("_cut")).alias("_cuts")
-    )
-    size = F.size("_cuts")
-    thinned = F.transform(
-        F.sequence(F.lit(0), F.lit(MAX_CUTS_PER_KEY - 1)),
-        lambda i: F.get(F.col("_cuts"), F.floor(i * size / MAX_CUTS_PER_KEY).cast("int")),
-    )
-    return cuts.filter(size >= _MIN_CUTS).withColumn(
-        "_cuts", F.when(size > MAX_CUTS_PER_KEY, thinned).otherwise(F.col("_cuts"))
+    share = min(1.0, _DRAWN / rows_per_block)
+    block = share * rows_per_block
+    key_cols = [col(k) for k in keys]
+    drawn = df.select(*key_cols, F.struct(*[col(o) for o in order]).alias("_cut"))
+    if share < 1:
+        drawn = drawn.sample(share, _SEED)
+    whole = Window.partitionBy(*key_cols)
+    ordered = whole.orderBy("_cut")
+    begun = F.floor(F.col("_before") / F.lit(block))
+    return (
+        drawn.groupBy(*key_cols, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_all", F.sum("_n").over(whole))
+        .filter(F.col("_all") >= 2 * block)
+        .withColumn("_before", F.sum("_n").over(ordered) - F.col("_n"))
+        .withColumn("_begun", begun)
+        .withColumn("_last", F.lag("_begun").over(ordered))
+        .filter(F.col("_begun") > F.col("_last"))
+        .select(*key_cols, "_cut", F.row_number().over(ordered).cast("bigint").alias("_rank"))
     )
 
 
+def cut_tree(cuts: DataFrame, keys: Sequence[str]) -> Splits:
+    """Arrange cuts (see ``split_points``) as a tree in which no node has more than ``_FAN`` branches."""
+    key_cols = [col(k) for k in keys]
+    deepest = cuts.agg(F.max("_rank")).first()[0] or 0
+    entries = cuts.select(*key_cols, (F.col("_rank") - 1).alias("_place"), "_cut")
+    levels = []
+    while True:
+        nodes = cut_lineage(
+            entries.groupBy(*key_cols, floor_div(F.col("_place"), _FAN).alias("_node"))
+            .agg(F.array_sort(F.collect_list("_cut")).alias("_firsts"))
+        )
+        levels.append(Level(nodes, is_small(nodes)))
+        if deepest <= _FAN:
+            break
+        deepest = -(-deepest // _FAN)
+        entries = nodes.select(*key_cols, F.col("_node").alias("_place"), F.get("_firsts", F.lit(0)).alias("_cut"))
+    return Splits(levels[-1].nodes.select(*key_cols), tuple(reversed(levels)))
+
+
 def heavy_splits(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     rows_per_block: int | None = None,
-) -> DataFrame | None:
-    """``split_points``, or None when no key is heavy. Runs one job over keys and order.
-
-    Cut points that are going to be used are written down, so that they are searched for once.
-    """
-    splits = split_points(df, keys, order, rows_per_block)
-    return None if splits.isEmpty() else cut_lineage(splits)
+) -> Splits | None:
+    """Where to cut the heavy keys, or None when no key is heavy. Runs one job over keys and order."""
+    cuts = split_points(df, keys, order, rows_per_block)
+    return None if cuts.isEmpty() else cut_tree(cut_lineage(cuts), keys)
 
 
-def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on ``keys`` where null equals null; the right side is bounded and is broadcast."""
+def match_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, small: bool | None = None
+) -> DataFrame:
+    """Join on ``keys`` where null equals null. The right side, a cheap one, is broadcast if it is small;
+    ``small`` tells if that is known already."""
     renamed = {k: f"_right_{i}" for i, k in enumerate(keys)}
-    right = F.broadcast(right.withColumnsRenamed(renamed))
+    small = is_small(right) if small is None else small
+    right = right.withColumnsRenamed(renamed)
     condition = F.lit(True)
     for key, other in renamed.items():
         condition = condition & col(key).eqNullSafe(F.col(other))
-    joined = left.join(right, condition, how)
+    joined = left.join(F.broadcast(right) if small else right, condition, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
 
 
 def join_per_key(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], splits: DataFrame | None
+    left: DataFrame, right: DataFrame, keys: Sequence[str], splits: Splits | None
 ) -> DataFrame:
-    """Inner join to a table with one row per key; the heavy keys' rows of it are broadcast.
+    """Inner join to a table with one row per key; the heavy keys' rows of it are broadcast if small.
 
-    ``splits`` is what ``heavy_splits`` said of ``left``. The rows of heavy keys are not shuffled
-    by key, and what is broadcast for them is at most one row per heavy key.
+    ``splits`` is what ``heavy_splits`` said of ``left``. The rows of heavy keys are then not shuffled
+    by key.
     """
     if splits is None:
         return left.join(right, list(keys))
-    heavy = splits.drop("_cuts")
-    light = match_keys(left, heavy, keys, "left_anti").join(right, list(keys))
-    hot_rows = match_keys(right, heavy, keys, "left_semi")
-    hot = match_keys(left, heavy, keys, "left_semi").join(F.broadcast(hot_rows), list(keys))
-    return light.unionByName(hot)
+    top = splits.levels[0].small
+    light = match_keys(left, splits.keys, keys, "left_anti", top).join(right, list(keys))
+    hot_rows = cut_lineage(match_keys(right, splits.keys, keys, "left_semi", top))
+    hot = match_keys(left, splits.keys, keys, "left_semi", top)
+    return light.unionByName(
+        hot.join(F.broadcast(hot_rows) if is_small(hot_rows) else hot_rows, list(keys))
+    )
 
 
-def _with_block(
-    df: DataFrame, splits: DataFrame, keys: Sequence[str], order: Sequence[str], how: str
+def place_in_blocks(
+    df: DataFrame,
+    splits: Splits,
+    keys: Sequence[str],
+    order: Sequence[str],
+    how: str = "left",
+    begins: str | None = None,
 ) -> DataFrame:
     """Add ``_block``, the number of the key's cuts at or below the row; 0 for ordinary keys.
 
-    The cuts are searched in two steps, first the slice and then the place in it, because the
-    list found by a join is copied into every row.
+    Args:
+        df: any frame.
+        splits: where its heavy keys are cut.
+        keys: the grouping columns.
+        order: the order columns.
+        how: ``inner`` keeps the rows of heavy keys only.
+        begins: also add, under this name, whether the row stands right at the cut its block begins with.
     """
     here = F.struct(*[col(o) for o in order])
-    key_cols = [col(k) for k in keys]
-    slices = F.sequence(F.lit(0), ((F.size("_cuts") - 1) / _SLICE).cast("int"))
-    firsts = splits.select(
-        *key_cols, F.transform(slices, lambda i: F.get(F.col("_cuts"), i * _SLICE)).alias("_firsts")
-    )
-    within = splits.select(
-        *key_cols,
-        F.posexplode(F.transform(slices, lambda i: F.slice("_cuts", i * _SLICE + 1, F.lit(_SLICE)))).alias(
-            "_slice", "_within"
-        ),
-    )
-    found = count_at_or_below(F.col("_firsts"), here, MAX_CUTS_PER_KEY // _SLICE) - 1
-    sliced = match_keys(df, firsts, keys, how).withColumn(
-        "_slice", F.when(F.col("_firsts").isNotNull(), found)
-    )
-    place = F.col("_slice") * _SLICE + count_at_or_below(F.col("_within"), here, _SLICE)
-    return (
-        match_keys(sliced.drop("_firsts"), within, [*keys, "_slice"], "left")
-        .withColumn("_block", F.when(F.col("_within").isNull(), F.lit(0)).otherwise(place))
-        .drop("_slice", "_within")
-    )
+    found = df
+    for depth, level in enumerate(splits.levels):
+        on = [*keys, "_node"] if depth else list(keys)
+        nodes = level.nodes if depth else level.nodes.drop("_node")
+        passed = count_at_or_below(F.col("_firsts"), here, _FAN)
+        base = F.col("_node") * _FAN if depth else F.lit(0).cast("bigint")
+        found = match_keys(found, nodes, on, how if depth == 0 else "left", level.small)
+        if level is not splits.levels[-1]:
+            place = F.when(F.col("_firsts").isNotNull(), base + F.greatest(passed - 1, F.lit(0)))
+            found = found.withColumn("_node", place).drop("_firsts")
+            continue
+        found = found.withColumn("_block", F.when(F.col("_firsts").isNull(), F.lit(0).cast("bigint")).otherwise(base + passed))
+        if begins:
+            at = F.when(passed > 0, F.get(F.col("_firsts"), passed - 1))
+            found = found.withColumn(begins, F.coalesce(at.eqNullSafe(here) & (passed > 0), F.lit(False)))
+    return found.drop("_node", "_firsts")
 
 
 def _so_far(kind: str, value: Column) -> Column:
@@ -183,7 +226,7 @@ def running(
     exclusive: bool = False,
     group_size: str | None = None,
     rows_per_block: int | None = None,
-    splits: DataFrame | None | str = _LOOK,
+    splits: Splits | None | str = _LOOK,
 ) -> DataFrame:
     """Add running aggregates of each key's rows in ascending ``order``.
 
@@ -229,15 +272,15 @@ def running(
 
     # Within the block: the usual window, on its own shuffle by (key, block).
     result = windowed(
-        _with_block(df, splits, keys, order, "left").repartition(*key_cols, "_block"),
+        place_in_blocks(df, splits, keys, order).repartition(*key_cols, "_block"),
         [*key_cols, "_block"],
         "_here_",
         "_here_size" if group_size else None,
     )
 
-    # Across blocks: one row per block of the heavy keys only, so its size is bounded by MAX_CUTS.
+    # Across blocks: one row per block of the heavy keys only.
     totals = (
-        _with_block(df, splits, keys, order, "inner")
+        place_in_blocks(df, splits, keys, order, "inner")
         .groupBy(*key_cols, "_block")
         .agg(
             *[
@@ -250,7 +293,7 @@ def running(
     per_key = Window.partitionBy(*key_cols)
     step = F.col("_block").desc() if reverse else F.col("_block").asc()
     earlier = per_key.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
+    carried = cut_lineage(totals.select(
         *key_cols,
         "_block",
         *[
@@ -258,7 +301,7 @@ def running(
             for name, (kind, _) in aggregates.items()
         ],
         F.sum("_total_size").over(per_key).alias("_before_size"),
-    )
+    ))
     merged = {
         name: merge(kind, F.col(f"_here_{name}"), F.col(f"_before_{name}"))
         for name, (kind, _) in aggregates.items()
@@ -278,7 +321,7 @@ def number_rows(
     *,
     group_size: str | None = None,
     rows_per_block: int | None = None,
-    splits: DataFrame | None | str = _LOOK,
+    splits: Splits | None | str = _LOOK,
 ) -> DataFrame:
     """Number each key's rows from zero; ``order`` must be a total order."""
     numbered = running(
