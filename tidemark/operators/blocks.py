@@ -72,15 +72,15 @@ def split_points(
         drawn = drawn.sample(share, _SEED)
     whole = Window.partitionBy(*key_cols)
     ordered = whole.orderBy("_cut")
-    begun = F.floor(F.col("_before") / F.lit(block))
+    begun = F.floor(F.col("_cut_before") / F.lit(block))
     return (
-        drawn.groupBy(*key_cols, "_cut").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_all", F.sum("_n").over(whole))
-        .filter(F.col("_all") >= 2 * block)
-        .withColumn("_before", F.sum("_n").over(ordered) - F.col("_n"))
-        .withColumn("_begun", begun)
-        .withColumn("_last", F.lag("_begun").over(ordered))
-        .filter(F.col("_begun") > F.col("_last"))
+        drawn.groupBy(*key_cols, "_cut").agg(F.count(F.lit(1)).alias("_cut_n"))
+        .withColumn("_cut_all", F.sum("_cut_n").over(whole))
+        .filter(F.col("_cut_all") >= 2 * block)
+        .withColumn("_cut_before", F.sum("_cut_n").over(ordered) - F.col("_cut_n"))
+        .withColumn("_cut_begun", begun)
+        .withColumn("_cut_last", F.lag("_cut_begun").over(ordered))
+        .filter(F.col("_cut_begun") > F.col("_cut_last"))
         .select(*key_cols, "_cut", F.row_number().over(ordered).cast("bigint").alias("_rank"))
     )
 
