@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import find_benchmark_passages
+from tidemark.llm.fingerprints import as_text, distinct_leaves, fingerprint_documents, likeness, with_tree
 from tidemark.llm.html_text import extract_main_text
 from tidemark.llm.line_dedup import find_repeated_lines
 from tidemark.llm.licences import find_licences, known_licences
@@ -170,3 +171,63 @@ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
 FROM full_nodes AS n JOIN below USING (path)
 LEFT JOIN nodes AS p ON n.depth > 0 AND p.path = n.path[:n.depth - 1]
 """
+
+
+@query
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_documents(table(spark, sf_dir, "documents"))
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    parts = found.select(
+        "doc_id", n.cast("long").alias("n_chars"), as_text(F.col("tree")).alias("fingerprint"), "root", "leaves",
+        likeness(F.col("root"), F.col("leaves"), F.col("next_root"), F.col("next_leaves")).alias("near_next"),
+        F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"),
+    )
+    edited = with_tree(parts, "edited", "tree").withColumn("edited_leaves", distinct_leaves(F.col("tree")))
+    return edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+        as_text(F.col("tree")).alias("edited_fingerprint"),
+        likeness(F.col("root"), F.col("leaves"), F.col("tree.root"), F.col("edited_leaves")).alias("near_edited"), "near_next",
+    )
+
+
+ORACLES["op13_document_fingerprints"] = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+paired AS (
+    SELECT *, length(text) AS n, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+    FROM docs WINDOW w AS (ORDER BY doc_id DESC NULLS LAST)),
+edits AS (SELECT *, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM paired),
+texts AS (SELECT DISTINCT text FROM docs UNION SELECT edited FROM edits),
+sentences AS (
+    SELECT text, list_transform(string_split(text, chr(10)), lambda p: list_transform(
+        regexp_extract_all(p, '(?s).*?[.!?] |.+'), lambda s: struct_pack(d := md5(s), n := length(s)))) AS cut FROM texts),
+paragraphs AS (
+    SELECT text, list_transform(cut, lambda p: struct_pack(
+        d := md5('p' || array_to_string(list_transform(p, lambda s: s.d), '')),
+        leaves := list_transform(p, lambda s: ('0x' || s.d[:10])::BIGINT * 8388608 + least(s.n, 8388607)))) AS ps FROM sentences),
+ended AS (
+    SELECT text, ps, list_filter(range(1, len(ps) + 1), lambda i: i = len(ps) OR ps[i].d[1] IN ('0', '1')) AS ends FROM paragraphs),
+runs AS (
+    SELECT text, ps, list_transform(ends, lambda e, k: ps[coalesce(ends[k - 1], 0) + 1:e]) AS runs FROM ended),
+sections AS (
+    SELECT text, ps, list_transform(runs, lambda s: struct_pack(
+        d := md5('s' || array_to_string(list_transform(s, lambda p: p.d), '')), ps := s)) AS sections FROM runs),
+rooted AS (
+    SELECT text, sections, md5('r' || array_to_string(list_transform(sections, lambda s: s.d), '')) AS root,
+        list_distinct(flatten(list_transform(ps, lambda p: p.leaves))) AS leaves FROM sections),
+trees AS (
+    SELECT text, root, leaves, coalesce(list_sum(list_transform(leaves, lambda x: x & 8388607)), 0) AS weight,
+        root || array_to_string(list_transform(sections, lambda s: '/' || s.d[:8] || array_to_string(
+            list_transform(s.ps, lambda p: '.' || p.d[:8] || array_to_string(
+                list_transform(p.leaves, lambda x: '-' || lower(to_hex(x))), '')), '')), '') AS whole FROM rooted),
+common AS (
+    SELECT e.*, t.whole AS fingerprint, o.whole AS edited_fingerprint, t.root, o.root AS edited_root, n.root AS next_root,
+        t.weight + o.weight + 1 AS with_edited, t.weight + n.weight + 1 AS with_next,
+        coalesce(list_sum(list_transform(list_intersect(t.leaves, o.leaves), lambda x: x & 8388607)), 0) AS edited_common,
+        coalesce(list_sum(list_transform(list_intersect(t.leaves, n.leaves), lambda x: x & 8388607)), 0) AS next_common
+    FROM edits AS e JOIN trees AS t ON t.text = e.text JOIN trees AS o ON o.text = e.edited JOIN trees AS n ON n.text = e.next_text)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+    CASE WHEN root = edited_root THEN 1.0::DOUBLE ELSE edited_common * 2.0::DOUBLE / with_edited END AS near_edited,
+    CASE WHEN root = next_root THEN 1.0::DOUBLE ELSE next_common * 2.0::DOUBLE / with_next END AS near_next
+FROM common
+"""
