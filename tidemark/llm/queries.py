@@ -18,6 +18,7 @@ from tidemark.llm.pseudonyms import replace_personal_data
 from tidemark.llm.quality import COUNTS, judge_quality
 from tidemark.llm.secrets import KINDS, find_secrets
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.spelling import corpus_words, spelling_variants
 from tidemark.llm.substring_dedup import remove_repeated_passages
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -231,3 +232,49 @@ SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edite
     CASE WHEN root = next_root THEN 1.0::DOUBLE ELSE next_common * 2.0::DOUBLE / with_next END AS near_next
 FROM common
 """
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(corpus_words(table(spark, sf_dir, "documents"), drop_one_in=97))
+
+
+# CRC-32 of the UTF-8 bytes of a text.
+_CRC32_UTF8 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(
+        range(0, length(hex(encode({0}))) // 2), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: list_reduce(
+        list_prepend(xor(c, b), range(8)),
+        lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+found AS (
+    SELECT doc_id, run, count(*) AS times, coalesce(doc_id::VARCHAR, '') || ':' || run AS named
+    FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+summed AS (SELECT run, times, {_CRC32_UTF8.format("named")} AS h FROM found),
+cut AS (
+    SELECT times, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+    FROM summed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+gaps AS (
+    SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+replaced AS (SELECT x.word, y.word AS other, y.n AS other_n FROM gaps AS x JOIN gaps AS y USING (i, a, b) WHERE x.word <> y.word),
+shorter AS (SELECT DISTINCT g.word, g.n, w.word AS other, w.n AS other_n FROM gaps AS g JOIN words AS w ON w.word = g.a || g.b),
+near AS (
+    SELECT * FROM replaced UNION ALL SELECT word, other, other_n FROM shorter UNION ALL SELECT other, word, n FROM shorter),
+best AS (
+    SELECT word, count(*) AS n_near, max(other_n) AS most, min(encode(other)) FILTER (other_n = top) AS first
+    FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word),
+formed AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 2 * w.n THEN decode(b.first) END AS form,
+        CASE WHEN b.most >= 2 * w.n THEN b.most END AS form_n
+    FROM words AS w LEFT JOIN best AS b USING (word)),
+way AS (
+    SELECT word, word AS root FROM formed
+    UNION ALL SELECT way.word, f.form FROM way JOIN formed AS f ON f.word = way.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n
+FROM formed AS f JOIN way AS w USING (word) JOIN formed AS last ON last.word = w.root AND last.form IS NULL
+"""
