@@ -41,7 +41,6 @@ def test_pieces_cover_items_and_fill_sequences(lengths):
 
 def test_round_trip(awkward, no_documents):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = pack_documents(awkward, PATH, PATTERN, capacity=64, group_documents=4).collect()
     want = sorted((i if i is not None else -1, (*tokenizer.encode(t or "", add_special_tokens=False).ids, 1)) for i, t in awkward_texts())
     pieces = {}
@@ -71,7 +70,6 @@ def test_round_trip(awkward, no_documents):
 def test_odd_blanks_and_marks(spark):
     texts = ["", " ", "a  b", "a\n", "\na b\n\nc", " é x", "<|endoftext|> a", "a.b", "a.'s it's", "漢 字 b", "x\ty z", "a b c", "x,5.5 ,", "a \nb"]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: bytes(r.ids) for r in pack_documents(docs, PATH, PATTERN).collect()}
     for i, t in enumerate(texts):

@@ -36,7 +36,6 @@ def answers(spark, name):
 
 def test_op1(spark, given):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in given("documents", "doc_id", "text")}
     placed, seen = {}, {i: 0 for i in ids}
     for doc, start, length, crc, total, sequence, offset in answers(spark, "op1_packing"):
