@@ -10,6 +10,7 @@ from catalog.base import CODED, DIAGNOSED, GRID, block_rows, code_of_event, code
 from catalog.cohort import labels
 from tidemark.operators import concepts, sequences, tokens
 from tidemark.operators.blocks import number_rows
+from tidemark.operators.ordinals import number_events
 from tidemark.session import cut_lineage
 
 LENGTH, STRIDE = 16, 8
@@ -158,6 +159,19 @@ def bin_faults(spark, sf_dir):
     )
 
 
+@query("event_ordinals", with_sql(CODED) + """
+SELECT row_number() OVER (ORDER BY subject_id NULLS FIRST, time NULLS FIRST, code IS DISTINCT FROM 'MEDS_BIRTH',
+         code NULLS FIRST, "end" NULLS FIRST, numeric_value NULLS FIRST, text_value NULLS FIRST,
+         visit_id NULLS FIRST) - 1 AS number,
+       subject_id, time, code, visit_id, text_value
+FROM coded
+""")
+def event_ordinals(spark, sf_dir):
+    """Every coded event with its place in one order of all of them, made of its own columns."""
+    numbered = number_events(coded_events(spark, sf_dir).drop("ordinal"), "number")
+    return numbered.select("number", "subject_id", "time", "code", "visit_id", "text_value")
+
+
 @query("leaf_tokens", with_sql(CODED, VOCABULARY, LEAVES) + "SELECT ordinal, subject_id, index FROM leaves")
 def leaf_tokens(spark, sf_dir):
     found = tokens.leaf_tokens(coded_events(spark, sf_dir), vocabulary(spark, sf_dir))

@@ -40,15 +40,6 @@ LABEL_HORIZON = "48h"
 FOLD_FRACTIONS = {"training": 0.70, "validation": 0.15, "testing": 0.15}
 FOLD_SEED = 42
 
-# ---- Fixed values: dataset description ---------------------------------------------------
-DATASET_DESCRIPTION = {
-    "dataset_name": "MIMIC-IV",
-    "dataset_version": "3.1",
-    "etl_name": "meds_etl.mimic + tidemark",
-    "etl_version": "0.3.11",
-    "meds_version": "0.3.3",
-}
-
 # ---- Fixed values: curated code mapping --------------------------------------------------
 GENDER_CODES = {"M": "Gender/M", "F": "Gender/F"}
 RACE_CODES = {

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
-from tidemark.operators import concepts, folds, landmarks, sequences, tokens
+from tidemark.operators import concepts, folds, landmarks, ordinals, sequences, tokens
 from tidemark.session import cut_lineage
 from tidemark.sources.readers import read_parquet, read_vocabulary_export
 from tidemark.sources.writers import (
@@ -59,9 +59,9 @@ def run_rewrite(
     *,
     concept_map: str,
     concept: str,
-    description: Mapping[str, str] = fixed.DATASET_DESCRIPTION,
+    description: Mapping[str, str],
 ) -> None:
-    """Rewrite a dataset's codes to tokens, with its metadata."""
+    """Rewrite a dataset's codes to tokens, with its metadata; ``description`` goes into ``dataset.json``."""
     require_absent(spark, dest)
     require_present(spark, concept)
     rows = read_parquet(spark, events)
@@ -158,15 +158,22 @@ def run_sequences(
     stride: int,
     age_mean: float,
     age_std: float,
-    ordinal: str,
+    ordinal: str | None = None,
 ) -> SequenceCounts:
-    """Write ``sequences`` and ``labels`` under ``dest`` in one job each, ids unique throughout."""
+    """Write ``sequences`` and ``labels`` under ``dest`` in one job each, ids unique throughout.
+
+    ``ordinal`` names the column that orders events sharing a timestamp. Without one, events are numbered
+    by their own columns (``ordinals.number_events``).
+    """
     require_absent(spark, dest)
     rows = read_parquet(spark, events)
     landmarked = read_parquet(spark, labels)
     vocabulary = concepts.load_vocabulary(read_parquet(spark, entries), vocab_size)
 
     wanted = sequences.until_last_landmark(rows, landmarked)
+    if ordinal is None:
+        ordinal = "_ordinal"
+        wanted = ordinals.number_events(wanted, ordinal)
     # Read several times below; the files also survive the loss of an executor.
     tokenised = cut_lineage(
         tokens.leaf_tokens(wanted, vocabulary).select("subject_id", "time", "index", ordinal)

@@ -45,7 +45,20 @@ def write_new(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """Write one small text file, replacing what is there; readers see the old or the new one, never a part.
+
+    The bytes go beside the path and are renamed, by the file system that the path names.
+    """
+    target, files = _path_and_files(spark, path)
+    beside, _ = _path_and_files(spark, f"{path}.being-written")
+    stream = files.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    files.delete(target, True)
+    if not files.rename(beside, target):
+        raise OSError(f"{path} could not be put in place")
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -140,10 +153,10 @@ def write_rewritten_dataset(
     metadata: DataFrame,
     concept_map: DataFrame,
     path: str,
-    description: Mapping[str, str] = fixed.DATASET_DESCRIPTION,
+    description: Mapping[str, str],
 ) -> None:
-    """Lay out a rewritten dataset: ``data``, ``metadata/codes.parquet``, ``metadata/dataset.json``
-    and the concept map it was made with."""
+    """Lay out a rewritten dataset: ``data``, ``metadata/codes.parquet``, ``metadata/dataset.json`` (one file
+    with ``description``) and the concept map it was made with."""
     spark = events.sparkSession
     require_absent(spark, path)
     write_text(spark, f"{path}/metadata/dataset.json", json.dumps(dict(description), indent=2))
