@@ -280,3 +280,36 @@ def test_ragged_rows_are_refused(spark, tmp_path, row):
     (tmp_path / "t.tsv").write_text("a\tb\n1\t2\n" + row.replace(",", "\t") + "\n")
     with pytest.raises(Exception, match="MALFORMED_RECORD|FAILED_READ_FILE"):
         readers.read_vocabulary_export(spark, str(tmp_path / "t.tsv")).select("a").collect()
+
+
+def test_text_rows_in_a_frame(spark):
+    lines = spark.createDataFrame([("1,\"x, \"\"y\"\"\",", 5), ("2,,z", 6)], "value string, offset int")
+    got = readers.parse_text_rows(lines, ["a", "b.c", "d"])
+    assert rows_of(got) == [(5, "1", 'x, "y"', None), (6, "2", None, "z")]
+    assert rows_of(readers.parse_text_rows(lines.filter("offset = 0"), ["a", "b", "c"])) == []
+
+
+@pytest.mark.parametrize("row", ["3,4,5", "6", None])
+def test_bad_text_rows_are_refused(spark, row):
+    lines = spark.createDataFrame([("1,2",), (row,)], "value string")
+    with pytest.raises(Exception, match="MALFORMED|a row of text is null"):
+        readers.parse_text_rows(lines, ["a", "b"]).select("a").collect()
+
+
+def test_a_read_of_one_type_reads_one_folder(spark, raw, tmp_path):
+    """Text rows, canonical form, stored by type: a later scan of a type prunes the others."""
+    table = fixed.RAW_TABLES["hcpcsevents"]
+    header, *rows = RAW[table.path].strip().split("\n")
+    lines = spark.createDataFrame([(r,) for r in rows], "value string")
+    part = readers.raw_events(readers.parse_text_rows(lines, header.split(",")), "hcpcsevents", table)
+    other = readers.read_raw_table(spark, raw[0], "admissions", fixed.RAW_TABLES["admissions"])
+    parts = {"hcpcsevents": part, "admissions": other}
+    path = str(tmp_path / "events")
+    stored = writers.ensure_dataset(
+        spark, path, {"v": 1}, lambda: event_table.canonical_table(parts, fixed.RAW_TABLES, {}), partition_by=["event_type"])
+    one = stored.filter("event_type = 'hcpcsevents'")
+    assert rows_of(one, "patient_id", "hadm_id", "hcpcsevents/seq_num") == [("1", "10", 1)] and stored.count() == 3
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_type" in plan and "hcpcsevents)]" in plan.replace(" = hcpcsevents", " hcpcsevents")
+    with pytest.raises(ValueError):
+        readers.raw_events(part, "labevents", fixed.RAW_TABLES["labevents"])

@@ -14,6 +14,7 @@ from tidemark.sources.readers import (
     read_parquet,
     read_raw_table,
     read_text_table,
+    stacked,
 )
 from tidemark.sources.writers import ensure_dataset, fingerprint, stored_state
 
@@ -25,6 +26,26 @@ CODED_TYPES = ("diagnoses_icd", "procedures_icd")
 ITEM_TYPES = ("labevents",)
 
 
+def canonical_table(
+    parts: Mapping[str, DataFrame], tables: Mapping[str, fixed.RawTable], dictionaries: Mapping[str, DataFrame]
+) -> DataFrame:
+    """The raw events of each type, in text, as one table in canonical form.
+
+    ``dictionaries`` maps an event type to the frame that describes its codes or items.
+    """
+    types = declared_types(tables)
+    return stacked([
+        canonical_events(
+            part,
+            name,
+            types,
+            coded=dictionaries.get(name) if name in CODED_TYPES else None,
+            items=dictionaries.get(name) if name in ITEM_TYPES else None,
+        )
+        for name, part in parts.items()
+    ])
+
+
 def build_event_table(
     spark: SparkSession,
     root: str,
@@ -35,19 +56,11 @@ def build_event_table(
 
     ``dictionaries`` maps an event type to the path of the dictionary that describes it.
     """
-    types = declared_types(tables)
-    stacked = None
-    for name, table in tables.items():
-        described = read_text_table(spark, dictionaries[name]) if name in dictionaries else None
-        part = canonical_events(
-            read_raw_table(spark, root, name, table),
-            name,
-            types,
-            coded=described if name in CODED_TYPES else None,
-            items=described if name in ITEM_TYPES else None,
-        )
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    return stacked
+    return canonical_table(
+        {name: read_raw_table(spark, root, name, table) for name, table in tables.items()},
+        tables,
+        {name: read_text_table(spark, path) for name, path in dictionaries.items()},
+    )
 
 
 def ensure_event_table(

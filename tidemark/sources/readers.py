@@ -40,14 +40,31 @@ def read_vocabulary_export(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_raw_table(spark: SparkSession, root: str, name: str, table: fixed.RawTable) -> DataFrame:
-    """One raw table as events: ``patient_id, event_type, timestamp`` and ``{name}/{column}``."""
-    rows = read_text_table(spark, f"{root}/{table.path}")
+def parse_text_rows(lines: DataFrame, columns: Sequence[str], value: str = "value", sep: str = ",") -> DataFrame:
+    """Rows of a delimited file that lie in a frame, one in each ``value``, every column as text.
+
+    For text that arrives as rows (from a queue, an archive, a column). Other columns of ``lines`` stay. As with
+    files, a row with more or fewer values than ``columns`` is refused when it is read, and so is a null row.
+    """
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    options = {"mode": "FAILFAST", "sep": sep, "escape": '"'}
+    text = F.coalesce(col(value), F.raise_error(F.lit("a row of text is null")).cast("string"))
+    rest = [col(c) for c in lines.columns if c != value]
+    # All values are read whatever columns are asked for, since a row is bad as a whole.
+    return lines.withColumn("_row", F.from_csv(text, schema, options)).select(
+        *rest, *[F.col("_row").getField(c).alias(c) for c in columns]
+    )
+
+
+def raw_events(rows: DataFrame, name: str, table: fixed.RawTable, extra: DataFrame | None = None) -> DataFrame:
+    """Rows of a raw table as events: ``patient_id, event_type, timestamp`` and ``{name}/{column}``.
+
+    ``extra`` holds the table of the lookup, if the raw table has one.
+    """
     if table.lookup is not None:
-        extra = read_text_table(spark, f"{root}/{table.lookup.path}").select(
-            table.lookup.on, *table.lookup.columns
-        )
-        rows = rows.join(extra, table.lookup.on, "inner")
+        if extra is None:
+            raise ValueError(f"{name} needs the rows of {table.lookup.path}")
+        rows = rows.join(extra.select(table.lookup.on, *table.lookup.columns), table.lookup.on, "inner")
     at = F.lit(None) if table.time is None else col(table.time)
     return rows.select(
         col(table.subject).alias("patient_id"),
@@ -57,15 +74,25 @@ def read_raw_table(spark: SparkSession, root: str, name: str, table: fixed.RawTa
     )
 
 
+def read_raw_table(spark: SparkSession, root: str, name: str, table: fixed.RawTable) -> DataFrame:
+    """One raw table's files as events (see ``raw_events``)."""
+    extra = None if table.lookup is None else read_text_table(spark, f"{root}/{table.lookup.path}")
+    return raw_events(read_text_table(spark, f"{root}/{table.path}"), name, table, extra)
+
+
 def read_raw_events(
     spark: SparkSession, root: str, tables: Mapping[str, fixed.RawTable] = fixed.RAW_TABLES
 ) -> DataFrame:
     """All raw tables stacked into one wide, sparse event table; values are still text."""
-    stacked = None
-    for name, table in tables.items():
-        part = read_raw_table(spark, root, name, table)
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    return stacked
+    return stacked([read_raw_table(spark, root, name, table) for name, table in tables.items()])
+
+
+def stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    """Frames one below the other; columns that a frame lacks are null there."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
 
 
 def declared_types(tables: Mapping[str, fixed.RawTable] = fixed.RAW_TABLES) -> dict[str, str]:
