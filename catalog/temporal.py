@@ -47,9 +47,9 @@ def rolling_min_rise(spark, sf_dir):
 
 @query("rolling_min_rise_split", _RISE_SQL)
 def rolling_min_rise_split(spark, sf_dir):
-    """The same by running aggregates over slots of time, themselves cut into small blocks."""
+    """The same with the slots of time themselves cut into small blocks."""
     small = block_rows(table(spark, sf_dir, "events"), 2500)
-    return _rise(spark, sf_dir, rows_per_window=1, rows_per_block=small)
+    return _rise(spark, sf_dir, rows_per_block=small)
 
 
 @query("rolling_sum_closed", """
