@@ -189,6 +189,22 @@ def test_asof_then_backfill(frame, rows_per_block):
     assert rows_of(got, "id", "w") == rows_of_list(want)
 
 
+def test_equal_left_rows_are_spread(spark):
+    """Most left rows are one row repeated; each finds its match, and none of the blocks holds them all."""
+    left = spark.range(6000, numPartitions=4).select(F.lit("a").alias("k"), F.lit(5).alias("t"), F.lit("x").alias("v"))
+    right = spark.createDataFrame([("a", 1, 10.0), ("a", 4, 20.0), ("a", 4, 20.0), ("a", 6, 30.0)], "k string, t int, w double")
+    for size in (300, None):
+        got = asof_join(left, right, on="t", by=["k"], take=["w"], rows_per_block=size)
+        assert rows_of(got.groupBy("k", "t", "v", "w").count()) == [("a", 5, "x", 20.0, 6000)]
+        if size:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            try:
+                per_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+            finally:
+                spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+            assert len(per_task) == 3 and max(per_task) < 4000
+
+
 def rows_of_list(rows):
     return sorted(rows, key=lambda r: tuple((v is not None, str(type(v)) if v is None else v) for v in r))
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import col, no_nulls
 from tidemark.operators.blocks import heavy_splits, running
+from tidemark.session import cut_lineage
+
+_SEED = 11
 
 
 def asof_join(
@@ -39,8 +42,9 @@ def asof_join(
         *named_keys,
         col(on).alias("_at"),
         F.lit(1).alias("_side"),
-        # Lets a crowd of left rows at one moment be cut into blocks.
-        F.xxhash64(*[col(c) for c in left.columns]).alias("_spread"),
+        # Lets a crowd of left rows at one moment be cut into blocks, also if they are equal throughout. What a
+        # left row finds does not depend on its place among them, so any number serves.
+        F.rand(_SEED).alias("_spread"),
         F.struct(*[col(c) for c in left.columns]).alias("_left"),
     )
     taken = F.struct(*[col(c) for c in take])
@@ -95,4 +99,10 @@ def asof_backfill(
     """As-of join, then give rows before the first match the next matched value of the group."""
     options = {"rows_per_block": rows_per_block, "may_be_heavy": may_be_heavy}
     matched = asof_join(left, right, on=on, by=by, take=[value], tie=tie, **options)
-    return backfill(matched, value, by=by, order=[on, *left_tie], **options)
+    order = [on, *left_tie]
+    # The join keeps the left rows, so the look at them serves; what is cut is read twice and written down.
+    splits = heavy_splits(left, by, order, rows_per_block) if may_be_heavy else None
+    if splits is not None:
+        matched = cut_lineage(matched)
+    filled = running(matched, by, order, {value: ("last", col(value))}, reverse=True, splits=splits)
+    return filled.select(*[col(c) for c in matched.columns])
