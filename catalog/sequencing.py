@@ -252,12 +252,13 @@ def place_labels(spark, sf_dir):
     return sequences.place_landmarks(cells, cut_lineage(labels(spark, sf_dir)))
 
 
-def packed(spark, sf_dir):
+def packed(spark, sf_dir, placing=True, expanding=True):
+    """All batches from one build; what a query does not ask for is not worked out beforehand."""
     words = vocabulary(spark, sf_dir)
     cells = cut_lineage(chunked(spark, sf_dir, words=words))
-    placed = cut_lineage(sequences.place_landmarks(cells, cut_lineage(labels(spark, sf_dir))))
-    expansion = cut_lineage(tokens.ancestor_expansion(words, closure(spark, sf_dir)))
-    return sequences.pack_batches(cells, placed, expansion, _BATCH)
+    placed = sequences.place_landmarks(cells, cut_lineage(labels(spark, sf_dir)))
+    expansion = cut_lineage(tokens.ancestor_expansion(words, closure(spark, sf_dir))) if expanding else None
+    return sequences.pack_batches(cells, cut_lineage(placed) if placing else placed, expansion, _BATCH, check=placing)
 
 
 @query("pack_sequences", with_sql(CODED, DIAGNOSED, GRID, VOCABULARY, LEAVES, CHUNKS, PACKED) + """
@@ -268,7 +269,7 @@ LEFT JOIN cells c ON c.sequence_id = s.sequence_id AND c.position = g.position
 """)
 def pack_sequences(spark, sf_dir):
     """The padded arrays, one row per slot."""
-    grids = packed(spark, sf_dir).sequences
+    grids = packed(spark, sf_dir, placing=False, expanding=False).sequences
     slots = grids.select(
         "batch", "row", "sequence_id", "seq_len",
         F.posexplode(F.arrays_zip("ages", "valid_tokens")).alias("position", "slot"),
@@ -284,7 +285,7 @@ SELECT batch, token, row * seq_len + position AS flat
 FROM cells JOIN shape USING (sequence_id) JOIN expansion ON expansion.index = cells.index
 """)
 def pack_pairs(spark, sf_dir):
-    return packed(spark, sf_dir).pairs
+    return packed(spark, sf_dir, placing=False).pairs
 
 
 @query("pack_labels", with_sql(CODED, DIAGNOSED, GRID, VOCABULARY, LEAVES, CHUNKS, PACKED) + """
@@ -292,7 +293,7 @@ SELECT batch, row * seq_len + position AS flat, CAST(boolean_value AS DOUBLE) AS
 FROM on_sequences JOIN shape USING (sequence_id)
 """)
 def pack_labels(spark, sf_dir):
-    return packed(spark, sf_dir).labels.withColumn("label", F.col("label").cast("double"))
+    return packed(spark, sf_dir, expanding=False).labels.withColumn("label", F.col("label").cast("double"))
 
 
 @query("embedding_sum", """

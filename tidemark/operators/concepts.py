@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,12 +33,12 @@ class Vocabulary(NamedTuple):
 def load_vocabulary(entries: DataFrame, vocab_size: int, check: bool = True) -> Vocabulary:
     """Split the first ``vocab_size`` entries by kind (0 code, 1 bin, 2 text; others unused).
 
-    ``entries`` has ``index, code, text, type, val_start, val_end, weight``.
+    ``entries`` has ``index, code, text, type, val_start, val_end, weight``; indices run from zero, each once.
     """
     if vocab_size <= 0:
         raise ValueError(f"a vocabulary holds at least one entry, got {vocab_size}")
-    if check and entries.count() < vocab_size:
-        raise ValueError(f"vocab_size {vocab_size} exceeds the entries there are")
+    if check:
+        _require_dense(entries, vocab_size)
     used = entries.filter((F.col("index") < vocab_size) & F.col("type").isin(0, 1, 2))
     kind = lambda number: used.filter(F.col("type") == number)
     vocabulary = Vocabulary(
@@ -51,6 +52,19 @@ def load_vocabulary(entries: DataFrame, vocab_size: int, check: bool = True) ->
     return vocabulary
 
 
+def _require_dense(entries: DataFrame, vocab_size: int) -> None:
+    """Refuse entries whose indices below ``vocab_size`` are not each there once, from zero."""
+    within = F.col("index").between(0, vocab_size - 1)
+    total, inside, distinct, odd = entries.agg(
+        F.count(F.lit(1)), F.count_if(within), F.count_distinct(F.when(within, F.col("index"))),
+        F.count_if(F.col("index").isNull() | (F.col("index") < 0)),
+    ).first()
+    if total < vocab_size:
+        raise ValueError(f"vocab_size {vocab_size} exceeds the entries there are")
+    if odd or inside != vocab_size or distinct != vocab_size:
+        raise ValueError(f"indices of entries must run from 0 to {vocab_size - 1}, each once")
+
+
 def bin_faults(bins: DataFrame) -> DataFrame:
     """Bins that do not end where the next bin of their code starts."""
     following = F.lead("val_start").over(Window.partitionBy("code").orderBy("val_start", "index"))
@@ -164,13 +178,18 @@ def immediate_parents(closure: DataFrame, codes: DataFrame | None = None) -> Dat
     With ``codes``, only their edges are worked out.
     """
     proper = closure.filter(F.col("code") != F.col("ancestor")).select("code", "ancestor")
-    of = proper if codes is None else proper.join(codes.select("code"), "code", "left_semi")
-    beyond = proper.select(F.col("code").alias("ancestor"), F.col("ancestor").alias("_beyond"))
-    reached = (
-        of.join(beyond, "ancestor").select("code", F.col("_beyond").alias("ancestor")).distinct()
+    above = proper.groupBy("code").agg(F.collect_set("ancestor").alias("_above"))
+    of = above if codes is None else above.join(codes.select("code"), "code", "left_semi")
+    # One row per pair of the closure, with the ancestor's own ancestors as an array; equal arrays count once.
+    beyond = (
+        of.select("code", F.explode("_above").alias("ancestor"))
+        .join(above.select(F.col("code").alias("ancestor"), F.col("_above").alias("_beyond")), "ancestor")
+        .groupBy("code")
+        .agg(F.flatten(F.collect_set("_beyond")).alias("_beyond"))
     )
-    direct = of.join(reached, ["code", "ancestor"], "left_anti").distinct()
-    return direct.withColumnRenamed("ancestor", "parent")
+    none = F.array().cast("array<string>")
+    direct = F.array_except("_above", F.coalesce("_beyond", none))
+    return of.join(beyond, "code", "left").select("code", F.explode(direct).alias("parent"))
 
 
 def climb(targets: DataFrame, tokens: DataFrame, closure: DataFrame) -> DataFrame:
@@ -178,8 +197,9 @@ def climb(targets: DataFrame, tokens: DataFrame, closure: DataFrame) -> DataFram
 
     Nearest is least by (hops, weight, token). The search walks down from the tokens, one level
     per round, and settles each code once in the first level that reaches it, so every ontology
-    edge is used once however many targets share it, and a cycle ends by itself. Targets without
-    a token above them give no row.
+    edge is used once however many targets share it, and a cycle ends by itself. Only the last level and
+    the edges of codes that are still open, fewer every round, are joined. Targets without a token above
+    them give no row.
     """
     wanted = targets.select(F.col("target").alias("code")).filter(F.col("code").isNotNull()).distinct()
     above = closure.join(wanted, "code", "left_semi").select(F.col("ancestor").alias("code"))
@@ -200,11 +220,11 @@ def climb(targets: DataFrame, tokens: DataFrame, closure: DataFrame) -> DataFram
     open_codes = relevant.join(settled, "code", "left_anti")
     edges = cut_lineage(immediate_parents(closure, open_codes))
 
-    level = settled
-    while True:
+    # Each round uses the edges that lead up to the last level, and those of settled codes go.
+    levels = [settled]
+    while not levels[-1].isEmpty():
         reached = (
-            edges.join(level.withColumnRenamed("code", "parent"), "parent")
-            .join(settled.select("code"), "code", "left_anti")
+            edges.join(levels[-1].withColumnRenamed("code", "parent"), "parent")
             .groupBy("code")
             .agg(
                 F.min(F.struct("weights", "vocab_code")).alias("_best"),
@@ -212,11 +232,10 @@ def climb(targets: DataFrame, tokens: DataFrame, closure: DataFrame) -> DataFram
             )
             .select("code", F.col("_best.vocab_code"), "hops", F.col("_best.weights"))
         )
-        level = cut_lineage(reached)
-        if level.isEmpty():
-            break
-        settled = settled.unionByName(level)
-    return settled.join(relevant.filter("_wanted"), "code", "left_semi").withColumnRenamed("code", "target")
+        levels.append(cut_lineage(reached))
+        edges = cut_lineage(edges.join(levels[-1].select("code"), "code", "left_anti"))
+    found = reduce(DataFrame.unionByName, levels)
+    return found.join(relevant.filter("_wanted"), "code", "left_semi").withColumnRenamed("code", "target")
 
 
 def best_targets(resolved: DataFrame, climbed: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -293,19 +312,18 @@ def rewrite_codes(events: DataFrame, lookup: DataFrame) -> DataFrame:
 
 def code_metadata(lookup: DataFrame, concept: DataFrame) -> DataFrame:
     """``code, description, parent_codes`` for the tokens the lookup leads to."""
+    wanted = lookup.select(F.col("vocab_code").alias("code")).distinct()
     names = (
         concept.select(
             F.concat("vocabulary_id", F.lit("/"), "concept_code").alias("code"),
             F.col("concept_name").alias("description"),
         )
-        .filter(F.col("code").isNotNull())
+        .join(small_side(wanted), "code", "left_semi")
         .groupBy("code")
         .agg(F.min("description").alias("description"))
     )
     return (
-        lookup.select(F.col("vocab_code").alias("code"))
-        .distinct()
-        .join(names, "code", "left")
+        wanted.join(names, "code", "left")
         .select(
             "code",
             F.coalesce("description", "code").alias("description"),

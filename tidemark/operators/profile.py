@@ -91,7 +91,8 @@ def exact_quantiles(
 def value_shares(df: DataFrame, field: str) -> DataFrame:
     """Share of rows per value, null included, largest first."""
     counts = df.groupBy(col(field)).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    # Of the counts, so that the source is read once.
+    total = counts.agg(F.sum("_n")).scalar()
     return counts.select(col(field), (F.col("_n") / total).alias("proportion")).orderBy(
         F.desc("proportion"), col(field).asc_nulls_first()
     )

@@ -66,12 +66,10 @@ def chunk_timelines(
         ordinal: column that orders events sharing a timestamp; unique within the subject.
         rows_per_block: see ``running``.
     """
-    if length < 1:
-        raise ValueError(f"length must be at least 1, got {length}")
-    if not 1 <= stride <= length:
-        raise ValueError(f"stride must be between 1 and {length}, got {stride}")
-    if age_std <= 0:
-        raise ValueError(f"age_std must be positive, got {age_std}")
+    if not 0 < stride <= length:
+        raise ValueError(f"sequences of {length} cannot start every {stride} positions; some events would be in none")
+    if not age_std > 0:
+        raise ValueError(f"ages cannot be scaled by a deviation of {age_std}")
 
     order = ["time", ordinal]
     splits = heavy_splits(events, ["subject_id"], order, rows_per_block)
@@ -143,18 +141,21 @@ class PackedBatches(NamedTuple):
     """
 
     sequences: DataFrame
-    pairs: DataFrame
+    pairs: DataFrame | None
     labels: DataFrame
 
 
 def pack_batches(
     sequences: DataFrame,
     placed: DataFrame,
-    expansion: DataFrame,
+    expansion: DataFrame | None,
     batch_size: int,
     check: bool = True,
 ) -> PackedBatches:
-    """Pack sequences, ``batch_size`` to a batch in order of id, padded to a power of two."""
+    """Pack sequences, ``batch_size`` to a batch in order of id, padded to a power of two.
+
+    Without an ``expansion`` there are no pairs.
+    """
     if check:
         _require_packable(sequences, placed)
     batch = floor_div(F.col("sequence_id"), batch_size)
@@ -187,7 +188,7 @@ def pack_batches(
     )
     shape = shaped.select("sequence_id", "batch", "row", "seq_len")
     flat = (F.col("row") * F.col("seq_len") + F.col("position")).alias("flat")
-    pairs = (
+    pairs = None if expansion is None else (
         sequences.select("sequence_id", "position", "index")
         .join(shape, "sequence_id")
         .join(small_side(expansion), "index")
