@@ -83,16 +83,18 @@ def count_at_or_below(ascending: Column, value: Column, max_size: int) -> Column
     )
 
 
+# A number: an optional sign, then digits with an optional fraction, or a fraction alone.
+_NUMBER = r"-?(?:\d+(?:\.\d+)?|\.\d+)"
+# A dash behind a digit stands between the two ends of a range; any other dash is a sign.
+_RANGE_DASH = r"(?<=\d)\s*-"
+
+
 def cleaned_number(text: str | Column) -> Column:
     """A number out of messy text: no thousands commas, ``a-b`` becomes the mean, junk is null."""
-    bare = F.replace(col(text), F.lit(","), F.lit(""))
-    # A dash after a digit separates two numbers; any other dash is a sign.
-    ranged = F.regexp_replace(bare, r"(\d)\s*-", "$1|")
-    numbers = F.transform(
-        F.regexp_extract_all(ranged, F.lit(r"-?\d*\.?\d+"), F.lit(0)), lambda n: n.cast("double")
-    )
-    total = F.aggregate(numbers, F.lit(0.0), lambda so_far, n: so_far + n)
-    return F.when(F.size(numbers) > 0, total / F.size(numbers))
+    ends = F.split(F.translate(col(text), ",", ""), _RANGE_DASH)
+    found = F.flatten(F.transform(ends, lambda end: F.regexp_extract_all(end, F.lit(_NUMBER), F.lit(0))))
+    summed = F.aggregate(found, F.lit(0.0), lambda total, n: total + n.cast("double"))
+    return F.try_divide(summed, F.size(found))
 
 
 def stable_hash(seed: int, key: str | Column) -> Column:
