@@ -1,5 +1,7 @@
 """Profiling questions."""
 
+import math
+
 import pytest
 
 from tests.conftest import hours, rows_of
@@ -112,3 +114,33 @@ def test_preview_is_strictly_above_the_share(frame):
     rows = [("1", "t", "x", "x", "x", None, None), ("1", "t", "x", "x", "x", "x", None)]
     got = EventProfile(frame(f"patient_id string, event_type string, {names}", rows)).preview("t")
     assert rows_of(got) == [("x", "x", "x", "x", None)]
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "one"])
+def test_quantiles_of_many_values_are_exact(spark, kind):
+    """More values than are bracketed whole: most are only counted, the quantiles are those of a full sort."""
+    n = 30_001
+    value = {"spread": lambda i: (i * 7919) % n / 3.0, "ties": lambda i: float((i * i) % 11), "one": lambda i: 4.5}[kind]
+    rows = spark.createDataFrame([("g" if i % 3 else "h", value(i)) for i in range(n)] + [("g", None), ("e", None)], "g string, v double").repartition(5)
+    shares = [0.9, 0.0, 0.25, 0.5, 0.999, 1.0]
+
+    def by_hand(values):
+        ordered, out = sorted(values), []
+        for s in shares:
+            place = s * (len(ordered) - 1)
+            low, high = ordered[math.floor(place)], ordered[math.ceil(place)]
+            out.append(low + (high - low) * (place - math.floor(place)))
+        return tuple(out)
+
+    assert profile.exact_quantiles(rows, "v", shares).first()[:] == by_hand([value(i) for i in range(n)])
+    got = {r[0]: tuple(r)[1:] for r in profile.exact_quantiles(rows, "v", shares, by=["g"]).collect()}
+    assert got == {g: by_hand([value(i) for i in range(n) if (i % 3 > 0) == (g == "g")]) for g in "gh"}
+
+
+def test_a_description_reads_the_source_twice(spark, tmp_path):
+    """Two jobs read the files; what comes back reads none."""
+    path = str(tmp_path / "numbers")
+    spark.range(5000).selectExpr("'a' AS patient_id", "'lab' AS event_type", "cast(id % 700 AS double) AS `lab/v`", "'mg' AS `lab/u`").write.parquet(path)
+    summary = profile.EventProfile(spark.read.parquet(path)).describe_numeric("lab/v", {}, "lab/u")
+    assert "FileScan" not in summary.stats._jdf.queryExecution().executedPlan().toString()
+    assert summary.unit == "mg" and summary.stats.first()[:2] == (5000, 0) and summary.stats.first()["p50"] == 342.0

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expressions import all_equal, col
 from tidemark.functions.fixed_values import UNIT_COLUMNS
-from tidemark.operators.blocks import running
+from tidemark.operators.blocks import match_keys, running
 from tidemark.operators.clean import require_columns, require_set
+from tidemark.session import cut_lineage
 
 PREVIEW_COMPLETENESS = 0.6
 
@@ -39,6 +40,13 @@ class NumericSummary(NamedTuple):
     unit: str | None
 
 
+# Ranks are first bracketed by a summary that is off by at most n / _ACCURACY ranks. The brackets reach further,
+# by _MARGIN of all ranks, and groups of up to _FEW values are bracketed whole, so a wanted rank is never outside.
+_ACCURACY = 10_000
+_MARGIN = 0.002
+_FEW = 2_000
+
+
 def exact_quantiles(
     df: DataFrame,
     field: str,
@@ -48,34 +56,66 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles ``q0``, ``q1``, ... per group, or one row without groups.
 
-    Values are counted first, then ranked by a running sum that splits over tasks, so neither the
-    rows of a group nor its distinct values have to fit anywhere.
+    The source is read twice: once to bracket the values at the wanted ranks, once to count the values within
+    brackets one by one and all others by the gap they fall in. What is ranked is a small part of the values,
+    by a running sum that splits over tasks. Groups without values give no row.
     """
-    groups = [col(g) for g in by]
-    counted = (
-        df.select(*groups, col(field).cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*groups, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = running(
-        counted, by, ["_v"], {"_upto": ("sum", F.col("_n"))}, rows_per_block=rows_per_block
+    bounds = _bracketed(df, field, shares, by, {})
+    chosen = _selected(df, field, shares, by, bounds, rows_per_block)
+    return chosen.select(*[col(g) for g in by], *[f"q{i}" for i in range(len(shares))])
+
+
+def _bracketed(
+    df: DataFrame, field: str, shares: Sequence[float], by: Sequence[str], extra: Mapping[str, Column]
+) -> DataFrame:
+    """Per group ``_n`` values, ``_lows`` and ``_highs`` around the wanted ranks (ascending), and ``extra`` aggregates."""
+    value = col(field).cast("double")
+    edges = [max(0.0, s - _MARGIN) for s in sorted(shares)] + [min(1.0, s + _MARGIN) for s in sorted(shares)]
+    found = df.groupBy(*[col(g) for g in by]).agg(
+        F.count(value).alias("_n"),
+        F.percentile_approx(value, F.array(*[F.lit(float(e)) for e in edges]), F.lit(_ACCURACY)).alias("_edges"),
+        *[aggregate.alias(name) for name, aggregate in extra.items()],
     )
-    # Every value with the last rank of its group; ranks count from zero.
+    k = len(shares)
+    return cut_lineage(found.withColumns({
+        "_lows": F.slice("_edges", 1, k), "_highs": F.slice("_edges", k + 1, k)
+    }).drop("_edges"))
+
+
+def _selected(
+    df: DataFrame, field: str, shares: Sequence[float], by: Sequence[str], bounds: DataFrame, rows_per_block: int | None
+) -> DataFrame:
+    """``bounds`` with ``q0``, ``q1``, ...: the values at the ranks, out of one more read of the source."""
+    groups = [col(g) for g in by]
+    values = df.select(*groups, col(field).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    edges = bounds.select(*groups, "_n", "_lows", "_highs")
     if by:
-        last = counted.groupBy(*groups).agg((F.sum("_n") - 1).alias("_last"))
-        renamed = {g: f"_group_{i}" for i, g in enumerate(by)}
-        same = F.lit(True)
-        for name, other in renamed.items():
-            same = same & col(name).eqNullSafe(F.col(other))
-        ranked = ranked.join(last.withColumnsRenamed(renamed), same)
+        rows = match_keys(values, edges, by, "inner")
     else:
-        ranked = ranked.withColumn("_last", counted.agg(F.sum("_n") - 1).scalar())
+        # One row, as literals.
+        n, lows, highs = edges.first()
+        listed = lambda xs: F.array(*[F.lit(x) for x in xs or [0.0] * len(shares)])
+        rows = values.withColumns({"_n": F.lit(n), "_lows": listed(lows), "_highs": listed(highs)})
+    v = F.col("_v")
+    inside, gap = F.col("_n") <= _FEW, F.lit(0)
+    for i in range(len(shares)):
+        low, high = F.get("_lows", F.lit(i)), F.get("_highs", F.lit(i))
+        inside = inside | v.between(low, high)
+        gap = gap + (v > high).cast("int")
+    counted = cut_lineage(
+        rows.select(*groups, gap.alias("_gap"), inside.alias("_inside"), F.when(inside, v).alias("_v"))
+        .groupBy(*groups, "_gap", "_inside", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    order = ["_gap", "_inside", "_v"]
+    ranked = running(counted, by, order, {"_upto": ("sum", F.col("_n"))}, rows_per_block=rows_per_block).drop("_n")
+    totals = bounds.select(*groups, (F.col("_n") - 1).alias("_last"))
+    ranked = match_keys(ranked, totals, by, "inner") if by else ranked.withColumn("_last", F.lit(n - 1))
 
     def value_at(rank):
-        return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+        return F.min(F.when(F.col("_upto") > rank, F.struct(*order)))
 
-    picks, results = [], []
+    picks, results = [], {}
     for i, share in enumerate(shares):
         place = F.col("_last") * F.lit(float(share))
         picks += [
@@ -83,9 +123,18 @@ def exact_quantiles(
             value_at(F.ceil(place)).alias(f"_high{i}"),
             F.max(place - F.floor(place)).alias(f"_part{i}"),
         ]
-        low, high, part = F.col(f"_low{i}"), F.col(f"_high{i}"), F.col(f"_part{i}")
-        results.append((low + (high - low) * part).alias(f"q{i}"))
-    return ranked.groupBy(*groups).agg(*picks).select(*groups, *results)
+        low, high = (
+            F.when(F.col(f"_{end}{i}._inside"), F.col(f"_{end}{i}._v")).when(
+                F.col(f"_{end}{i}").isNotNull(), F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+            )
+            for end in ("low", "high")
+        )
+        results[f"q{i}"] = low + (high - low) * F.col(f"_part{i}")
+    found = ranked.groupBy(*groups).agg(*picks).select(*groups, *[r.alias(name) for name, r in results.items()])
+    if by:
+        return match_keys(found, bounds, by, "inner")
+    # Both sides are one row.
+    return found.select(*[F.lit(value).cast(bounds.schema[name].dataType).alias(name) for name, value in bounds.drop("_lows", "_highs").first().asDict().items()], *results)
 
 
 def value_shares(df: DataFrame, field: str) -> DataFrame:
@@ -128,29 +177,29 @@ def equal_width_histogram(df: DataFrame, field: str, bins: int = 30) -> DataFram
     )
 
 
-def describe_numbers(df: DataFrame, field: str) -> DataFrame:
-    """One row: count, null_count, mean, std, min, quartiles and max."""
+_QUARTILES = [0.25, 0.5, 0.75]
+_SUMMARY = ("count", "null_count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def _summary_bounds(df: DataFrame, field: str, extra: Mapping[str, Column]) -> DataFrame:
+    """The first read of a description: brackets of the quartiles, and all that needs no ranks."""
     value = col(field).cast("double")
-    basic = df.agg(
-        F.count(value).alias("count"),
-        F.count_if(value.isNull()).alias("null_count"),
-        F.mean(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    quartiles = exact_quantiles(df, field, [0.25, 0.5, 0.75]).select(F.struct("q0", "q1", "q2")).scalar()
-    return basic.select(
-        "count",
-        "null_count",
-        "mean",
-        "std",
-        "min",
-        quartiles.getField("q0").alias("p25"),
-        quartiles.getField("q1").alias("p50"),
-        quartiles.getField("q2").alias("p75"),
-        "max",
-    )
+    basic = {
+        "count": F.count(value), "null_count": F.count_if(value.isNull()), "mean": F.mean(value),
+        "std": F.stddev_samp(value), "min": F.min(value), "max": F.max(value),
+    }
+    return _bracketed(df, field, _QUARTILES, (), {**basic, **extra})
+
+
+def _summary(df: DataFrame, field: str, bounds: DataFrame) -> DataFrame:
+    """The second read: the quartiles beside what the first one found."""
+    found = _selected(df, field, _QUARTILES, (), bounds, None)
+    return found.withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"}).select(*_SUMMARY)
+
+
+def describe_numbers(df: DataFrame, field: str) -> DataFrame:
+    """One row: count, null_count, mean, std, min, quartiles and max, from two reads."""
+    return _summary(df, field, _summary_bounds(df, field, {}))
 
 
 def mostly_complete(df: DataFrame, names: Sequence[str], share: float = PREVIEW_COMPLETENESS) -> DataFrame:
@@ -234,14 +283,15 @@ class EventProfile:
         self, field: str, filters: Mapping[str, object], unit_field: str | None = None
     ) -> NumericSummary:
         rows = self._slice(field, filters)
+        units = {} if unit_field is None else {"_unit": F.min(col(unit_field)), "_other": F.max(col(unit_field))}
+        bounds = _summary_bounds(rows, field, units)
         unit = None
-        if unit_field is not None:
-            low, high = rows.agg(F.min(col(unit_field)), F.max(col(unit_field))).first()
-            if low != high:
-                units = rows.select(col(unit_field)).filter(col(unit_field).isNotNull()).distinct()
-                raise MixedUnitsError(sorted(r[0] for r in units.collect()))
-            unit = low
-        return NumericSummary(describe_numbers(rows, field), unit)
+        if units:
+            unit, other = bounds.select("_unit", "_other").first()
+            if unit != other:
+                named = rows.select(col(unit_field)).filter(col(unit_field).isNotNull()).distinct()
+                raise MixedUnitsError(sorted(r[0] for r in named.collect()))
+        return NumericSummary(_summary(rows, field, bounds), unit)
 
     def histogram(self, field: str, filters: Mapping[str, object], bins: int = 30) -> DataFrame:
         rows = self._slice(field, filters)
