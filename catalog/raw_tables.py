@@ -6,10 +6,10 @@ admissions a user's weeks. Values hold commas and quotes.
 
 from pyspark.sql import functions as F
 
-from catalog.base import VISITS, query, table, visit_id, visits, with_sql
-from tidemark.functions.fixed_values import RawTable
+from catalog.base import VISITS, charted, query, table, visit_id, visits, with_sql
+from tidemark.functions.fixed_values import WEIGHT_COLUMNS, WEIGHT_ITEMS, RawTable
 from tidemark.plans.event_table import canonical_table
-from tidemark.sources.readers import parse_text_rows, raw_events, stacked
+from tidemark.sources.readers import item_rows, parse_text_rows, raw_events, stacked
 
 TABLES = {
     "admissions": RawTable("", "admittime", {
@@ -116,3 +116,20 @@ def canonical_events(spark, sf_dir):
     dictionary = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("itemid"), F.col("p_name").alias("label"))
     events = canonical_table(raw_parts(spark, sf_dir), TABLES, {"labevents": dictionary})
     return events.withColumns({c: F.col(f"`{c}`").cast("double") for c in ("labevents/valuenum", "prescriptions/dose_val_rx")})
+
+
+@query("item_extract", """
+SELECT user_id AS subject_id, user_id * 100 + weekofyear(ts) AS hadm_id, user_id * 100 + weekofyear(ts) AS stay_id,
+       date_trunc('hour', ts) AS charttime, CAST(CASE WHEN value > 100 THEN 226531 ELSE 226512 END AS BIGINT) AS itemid,
+       floor(value * 100) AS valuenum, 'kg, "dry"' AS valueuom
+FROM events WHERE event_type = 'purchase'
+""")
+def item_extract(spark, sf_dir):
+    """The rows of a charting table, in text, that hold a weight."""
+    names = ["subject_id", "hadm_id", "stay_id", "caregiver_id", "charttime", "itemid", "valuenum", "valueuom"]
+    rows = charted(spark, sf_dir).withColumns({
+        "charttime": F.date_format("charttime", _SECOND), "caregiver_id": F.lit(None), "valuenum": F.floor(F.col("value") * 100),
+        "valueuom": F.lit('kg, "dry"'),
+    })
+    lines = rows.select(F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in names]), {"escape": '"'}).alias("value"))
+    return item_rows(parse_text_rows(lines, names), WEIGHT_COLUMNS, WEIGHT_ITEMS, "valuenum")

@@ -9,7 +9,8 @@ import pytest
 from tests.conftest import hours, rows_of
 from tidemark.functions import fixed_values as fixed
 from tidemark.operators.clean import slice_event_type
-from tidemark.plans import event_table, training
+from tidemark.plans import event_table, extracts, training
+from tidemark.plans.phenotype import load_urine_rate
 from tidemark.sources import readers, writers
 
 RAW = {
@@ -155,6 +156,27 @@ def test_item_extracts(spark, tmp_path):
     assert rows_of(readers.read_urine(spark, str(path))) == []
 
 
+def test_extracts_are_made_once(spark, tmp_path):
+    header = "subject_id,hadm_id,stay_id,caregiver_id,charttime,storetime,itemid,value,valuenum,valueuom,warning\n"
+    row = "1,10,100,7,2150-01-01 0{}:00:00,,{},5,{},kg,0\n"
+    chart, output = tmp_path / "chartevents.csv.gz", tmp_path / "outputevents.csv.gz"
+    chart.write_bytes(gzip.compress((header + row.format(1, 226512, 70) + row.format(2, 1, 9)).encode()))
+    output.write_bytes(gzip.compress((header + row.format(3, 226559, 1)).encode()))
+    paths = (str(chart), str(output), str(tmp_path / "extracts"))
+    made = extracts.ensure_extracts(spark, *paths, partitions=2)
+    assert rows_of(made.weights, "itemid", "valuenum") == [(226512, 70.0)] and rows_of(made.urine, "itemid", "value") == [(226559, 5.0)]
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "extracts").rglob("*.parquet") if p.is_file()}
+    extracts.ensure_extracts(spark, *paths, partitions=2)
+    assert files == {p: p.stat().st_mtime_ns for p in (tmp_path / "extracts").rglob("*.parquet") if p.is_file()}
+    chart.write_bytes(gzip.compress((header + row.format(1, 226512, 70) + row.format(2, 226531, 150)).encode()))
+    again = extracts.ensure_extracts(spark, *paths, partitions=2)
+    assert again.weights.count() == 2 and again.urine.count() == 1
+    left = {p for p in (tmp_path / "extracts").rglob("*.parquet") if p.is_file() and p in files}
+    assert left and all("urine" in str(p) for p in left)
+    rate = load_urine_rate(again.weights, again.urine)
+    assert rate.count() == 1
+
+
 def test_nothing_is_overwritten(spark, tmp_path):
     path = str(tmp_path / "out")
     writers.write_new(spark.range(3), path)

@@ -109,22 +109,16 @@ def declared_measures(tables: Mapping[str, fixed.RawTable] = fixed.RAW_TABLES) -
     return {field: m for table in tables.values() for field, m in table.measures.items()}
 
 
-def read_items(
-    spark: SparkSession,
-    path: str,
-    columns: Sequence[str],
-    items: Collection[int],
-    value: str,
-    partitions: int | None = None,
+def item_rows(
+    rows: DataFrame, columns: Sequence[str], items: Collection[int], value: str, partitions: int | None = None
 ) -> DataFrame:
-    """Rows of a charting table whose ``itemid`` is wanted, ids and values typed.
+    """Rows of a charting table, in text, whose ``itemid`` is wanted: ids and values typed, other columns gone.
 
-    A gzip file is one task however large; the few rows that pass are spread again if
-    ``partitions`` is given.
+    The few rows that pass are spread again if ``partitions`` is given.
     """
     ids = [c for c in ("subject_id", "hadm_id", "stay_id", "itemid") if c in columns]
-    rows = read_text_table(spark, path).select(*[col(c) for c in columns])
-    kept = rows.filter(col("itemid").isin(*[str(i) for i in sorted(items)])).withColumns(
+    wanted = col("itemid").isin(*[str(i) for i in sorted(items)])
+    kept = rows.filter(wanted).select(*[col(c) for c in columns]).withColumns(
         {
             **{c: col(c).cast("bigint") for c in ids},
             "charttime": col("charttime").cast("timestamp_ntz"),
@@ -134,6 +128,18 @@ def read_items(
     return kept if partitions is None else kept.repartition(partitions)
 
 
+def read_items(
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str],
+    items: Collection[int],
+    value: str,
+    partitions: int | None = None,
+) -> DataFrame:
+    """``item_rows`` of a charting file. A gzip file is one task however large."""
+    return item_rows(read_text_table(spark, path), columns, items, value, partitions)
+
+
 def read_weights(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     return read_items(spark, path, fixed.WEIGHT_COLUMNS, fixed.WEIGHT_ITEMS, "valuenum", partitions)
 

@@ -115,14 +115,20 @@ def ensure_dataset(
 ) -> DataFrame:
     """The dataset at ``path``, rebuilt only when ``state`` is not what it was built from.
 
-    The state lies beside the dataset. It is removed before the rebuild and written after it, so
-    a build that breaks off is never taken for a finished one.
+    The state lies beside the dataset. A rebuild is written beside the dataset as well and takes its place
+    when it is whole; the state is removed before that and written after it. So a build that breaks off
+    leaves the old files, and is never taken for a finished one.
     """
     wanted = json.dumps(state, sort_keys=True)
     beside = f"{path}.state"
     if read_text(spark, beside) != wanted or not path_exists(spark, path):
+        fresh = f"{path}.being-built"
         remove_path(spark, beside)
-        build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        build().write.mode("overwrite").partitionBy(*partition_by).parquet(fresh)
+        remove_path(spark, path)
+        source, files = _path_and_files(spark, fresh)
+        if not files.rename(source, _path_and_files(spark, path)[0]):
+            raise OSError(f"{path} could not be put in place")
         write_text(spark, beside, wanted)
     return spark.read.parquet(path)
 
