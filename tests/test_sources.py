@@ -265,7 +265,9 @@ def test_jobs_from_codes_to_sequences(spark, coded, tmp_path):
     made = []
     for n in (1, 2):
         dest = str(tmp_path / f"numbered{n}")
-        options = dict(entries=coded["entries"], vocab_size=2, length=16, stride=8, age_mean=0.0, age_std=1.0)
+        ages = str(tmp_path / f"ages{n}")
+        spark.createDataFrame([(0.0, 1.0)], "age_mean double, age_std double").write.parquet(ages)
+        options = dict(entries=coded["entries"], vocab_size=2, length=16, stride=8, ages=ages)
         assert training.run_sequences(spark, bare, out["labels"], dest, **options) == written
         made.append(rows_of(spark.read.parquet(f"{dest}/sequences"), "sequence_id", "position", "index", "time"))
     assert made[0] == made[1]
@@ -280,6 +282,14 @@ def test_jobs_from_codes_to_sequences(spark, coded, tmp_path):
             again()
 
 
+@pytest.mark.parametrize("rows", [[], [(1.0, 0.0)], [(1.0, None)], [(1.0, 2.0), (1.0, 2.0)]])
+def test_bad_age_statistics_are_refused(spark, tmp_path, rows):
+    path = str(tmp_path / "ages")
+    spark.createDataFrame(rows, "age_mean double, age_std double").write.parquet(path)
+    with pytest.raises(ValueError):
+        readers.read_age_statistics(spark, path)
+
+
 def test_labels_refuse_stranded_admissions_and_missing_inputs(spark, coded, tmp_path):
     stranded = str(tmp_path / "stranded")
     training.run_surviving(spark, coded["diagnoses"], coded["closure"].replace("closure", "events"), stranded)

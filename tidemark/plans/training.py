@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed_values as fixed
 from tidemark.operators import concepts, folds, landmarks, ordinals, sequences, tokens
 from tidemark.session import cut_lineage
-from tidemark.sources.readers import read_parquet, read_vocabulary_export
+from tidemark.sources.readers import read_age_statistics, read_parquet, read_vocabulary_export
 from tidemark.sources.writers import (
     require_absent,
     require_present,
@@ -156,16 +156,22 @@ def run_sequences(
     vocab_size: int,
     length: int,
     stride: int,
-    age_mean: float,
-    age_std: float,
+    age_mean: float | None = None,
+    age_std: float | None = None,
+    ages: str | None = None,
     ordinal: str | None = None,
 ) -> SequenceCounts:
     """Write ``sequences`` and ``labels`` under ``dest`` in one job each, ids unique throughout.
 
+    The mean and standard deviation of ages are given, or read from the table ``ages`` beside the vocabulary.
     ``ordinal`` names the column that orders events sharing a timestamp. Without one, events are numbered
     by their own columns (``ordinals.number_events``).
     """
     require_absent(spark, dest)
+    if (ages is None) == (age_mean is None or age_std is None):
+        raise ValueError("give either the statistics of ages or the table that holds them")
+    if ages is not None:
+        age_mean, age_std = read_age_statistics(spark, ages)
     rows = read_parquet(spark, events)
     landmarked = read_parquet(spark, labels)
     vocabulary = concepts.load_vocabulary(read_parquet(spark, entries), vocab_size)

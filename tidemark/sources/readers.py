@@ -80,6 +80,14 @@ def read_raw_table(spark: SparkSession, root: str, name: str, table: fixed.RawTa
     return raw_events(read_text_table(spark, f"{root}/{table.path}"), name, table, extra)
 
 
+def read_age_statistics(spark: SparkSession, path: str) -> tuple[float, float]:
+    """Mean and standard deviation of ages in days, stored with a vocabulary as one row ``age_mean, age_std``."""
+    rows = read_parquet(spark, path, ["age_mean", "age_std"]).limit(2).collect()
+    if len(rows) != 1 or None in tuple(rows[0]) or not rows[0]["age_std"] > 0:
+        raise ValueError(f"{path} must hold one row with a mean and a positive standard deviation of ages")
+    return float(rows[0]["age_mean"]), float(rows[0]["age_std"])
+
+
 def read_raw_events(
     spark: SparkSession, root: str, tables: Mapping[str, fixed.RawTable] = fixed.RAW_TABLES
 ) -> DataFrame:
