@@ -48,7 +48,7 @@ def text_rows(spark, sf_dir):
         "prescriptions": events.filter("event_type = 'click'").select(
             F.col("user_id").alias("subject_id"), "hadm_id", at.alias("starttime"),
             F.concat(F.lit('A "drug", '), (F.col("event_id") % 7).cast("string")).alias("drug"), dose.alias("dose_val_rx"),
-            (F.col("event_id") % 70000).alias("seq_num"),
+            (F.col("event_id") % 60000).alias("seq_num"),
         ),
     }
     return {
@@ -79,7 +79,7 @@ raw AS (
          CASE WHEN event_type = 'view' THEN 'mg/dL, approx' END,
          CASE WHEN event_type = 'view' AND event_id % 5 > 0 THEN date_trunc('second', ts) END,
          CASE WHEN event_type = 'click' THEN 'A "drug", ' || event_id % 7 END,
-         CASE WHEN event_type = 'click' THEN event_id % 3 END, CASE WHEN event_type = 'click' THEN event_id % 70000 END
+         CASE WHEN event_type = 'click' THEN event_id % 3 END, CASE WHEN event_type = 'click' THEN event_id % 60000 END
   FROM events WHERE event_type IN ('view', 'click'))
 """
 
