@@ -7,6 +7,7 @@ its customer. Regions, some nations and some segments are tokens.
 from pyspark.sql import functions as F
 
 from catalog.base import CODED, coded_events, query, table, with_sql
+from tidemark.functions import fixed_values as fixed
 from tidemark.operators import concepts
 from tidemark.session import cut_lineage
 
@@ -117,6 +118,30 @@ def relationship_table(spark, sf_dir):
     return to_nation.unionByName(to_self)
 
 
+# Names of the curated families in turn, and one that no family has.
+_SPELLED = [f"{family}/{name}" for family, names in fixed.CURATED_FAMILIES.items() for name in names] + ["UNLISTED/NAME"]
+_TARGETS = {f"{family}/{name}": target for family, names in fixed.CURATED_FAMILIES.items() for name, target in names.items()}
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query("curated_codes", f"""
+WITH spelled AS (SELECT {_listed(_SPELLED)}[o_custkey % {len(_SPELLED)} + 1] AS code FROM orders),
+curated AS (SELECT unnest({_listed(_TARGETS)}) AS code, unnest({_listed(_TARGETS.values())}) AS target),
+inventory AS (SELECT code, count(*) AS n_events FROM spelled GROUP BY code)
+SELECT code, target, 'manual' AS method, n_events FROM inventory JOIN curated USING (code)
+""")
+def curated_codes(spark, sf_dir):
+    """Orders as events whose codes are names of the curated families; what the mapping makes of them."""
+    names = F.array(*[F.lit(name) for name in _SPELLED])
+    spelled = table(spark, sf_dir, "orders").select(F.get(names, (F.col("o_custkey") % len(_SPELLED)).cast("int")).alias("code"))
+    inventory = concepts.code_inventory(spelled).withColumnRenamed("count", "n_events")
+    resolved = concepts.resolve_curated(inventory, concepts.curated_mapping(spark))
+    return resolved.join(inventory, "code").select("code", "target", "method", "n_events")
+
+
 def curated(spark, sf_dir):
     """By hand: customers of one segment to their region."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")

@@ -255,10 +255,15 @@ def place_labels(spark, sf_dir):
 def packed(spark, sf_dir, placing=True, expanding=True):
     """All batches from one build; what a query does not ask for is not worked out beforehand."""
     words = vocabulary(spark, sf_dir)
-    cells = cut_lineage(chunked(spark, sf_dir, words=words))
-    placed = sequences.place_landmarks(cells, cut_lineage(labels(spark, sf_dir)))
+    cells = chunked(spark, sf_dir, words=words)
+    if placing:
+        # Labels are placed on the cells, which are packed as well.
+        cells = cut_lineage(cells)
+        placed = cut_lineage(sequences.place_landmarks(cells, cut_lineage(labels(spark, sf_dir))))
+    else:
+        placed = spark.createDataFrame([], "sequence_id bigint, position bigint, boolean_value boolean")
     expansion = cut_lineage(tokens.ancestor_expansion(words, closure(spark, sf_dir))) if expanding else None
-    return sequences.pack_batches(cells, cut_lineage(placed) if placing else placed, expansion, _BATCH, check=placing)
+    return sequences.pack_batches(cells, placed, expansion, _BATCH, check=placing)
 
 
 @query("pack_sequences", with_sql(CODED, DIAGNOSED, GRID, VOCABULARY, LEAVES, CHUNKS, PACKED) + """
@@ -296,6 +301,35 @@ def pack_labels(spark, sf_dir):
     return packed(spark, sf_dir, expanding=False).labels.withColumn("label", F.col("label").cast("double"))
 
 
+@query("packed_batches", with_sql(CODED, DIAGNOSED, GRID, VOCABULARY, LEAVES, CHUNKS, PACKED) + """
+, grids AS (SELECT batch, count(*) AS n_sequences, max(seq_len) AS seq_len, sum(longest) AS n_cells FROM shape GROUP BY batch),
+pairs AS (
+  SELECT batch, count(*) AS n_pairs, sum((row * seq_len + position) * 7 + token) AS pairs_sum
+  FROM cells JOIN shape USING (sequence_id) JOIN expansion ON expansion.index = cells.index GROUP BY batch),
+marks AS (
+  SELECT batch, count(*) AS n_labels, sum(row * seq_len + position) AS labels_sum, count(*) FILTER (boolean_value) AS n_true
+  FROM on_sequences JOIN shape USING (sequence_id) GROUP BY batch)
+SELECT batch, n_sequences, seq_len, CAST(n_cells AS BIGINT) AS n_cells, coalesce(n_pairs, 0) AS n_pairs,
+       CAST(coalesce(pairs_sum, 0) AS BIGINT) AS pairs_sum, coalesce(n_labels, 0) AS n_labels,
+       CAST(coalesce(labels_sum, 0) AS BIGINT) AS labels_sum, coalesce(n_true, 0) AS n_true
+FROM grids LEFT JOIN pairs USING (batch) LEFT JOIN marks USING (batch)
+""")
+def packed_batches(spark, sf_dir):
+    """What each batch holds: rows, pairs and labels, all three out of one build."""
+    built = packed(spark, sf_dir)
+    grids = built.sequences.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n_sequences"), F.max("seq_len").alias("seq_len"),
+        F.sum(F.size(F.filter("valid_tokens", lambda v: v))).alias("n_cells"),
+    )
+    pairs = built.pairs.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("flat") * 7 + F.col("token")).alias("pairs_sum")
+    )
+    marks = built.labels.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n_labels"), F.sum("flat").alias("labels_sum"), F.count_if(F.col("label") == 1).alias("n_true")
+    )
+    return grids.join(pairs, "batch", "left").join(marks, "batch", "left").fillna(0)
+
+
 @query("embedding_sum", """
 SELECT user_id AS position, dim - 1 AS dim, round(sum(v), 5) AS total FROM (
   SELECT e.user_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS dim

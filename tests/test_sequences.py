@@ -209,6 +209,18 @@ def test_packing(frame):
     assert rows_of(packed.labels) == [(0, 1, 1.0), (0, 6, 0.0)]
 
 
+def test_packing_gathers_sequences_in_one_shuffle(frame):
+    """Ids with gaps, batches of uneven length; the plan groups and ranks by the one partitioning by batch."""
+    rows = [(i, p, float(p), -float(p), 7) for i, n in ((0, 3), (2, 1), (9, 5), (11, 9)) for p in range(n)]
+    cells = frame("sequence_id bigint, position bigint, age float, normed_age float, index bigint", rows).repartition(5)
+    gathered = sequences._gathered(cells, 4)
+    got = rows_of(gathered, "batch", "row", "sequence_id", "seq_len")
+    assert got == [(0, 0, 0, 4), (0, 1, 2, 4), (2, 0, 9, 16), (2, 1, 11, 16)]
+    assert {r.sequence_id: [c.position for c in r.cells] for r in gathered.collect()} == {0: [0, 1, 2], 2: [0], 9: list(range(5)), 11: list(range(9))}
+    plan = gathered._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(batch") == 1
+
+
 def test_packing_pads_to_a_power_of_two(frame):
     cells = built(frame, 5)
     none = frame("sequence_id bigint, position bigint, boolean_value boolean", [])

@@ -259,6 +259,16 @@ def test_jobs_from_codes_to_sequences(spark, coded, tmp_path):
     placed = spark.read.parquet(f"{out['sequences']}/labels")
     assert placed.join(spark.read.parquet(f"{out['sequences']}/sequences"), ["sequence_id", "position"]).count() == 44
 
+    batches = training.run_batches(
+        spark, out["sequences"], str(tmp_path / "batches"), entries=coded["entries"], vocab_size=2, closure=coded["closure"], batch_size=8)
+    assert batches == (30, 470, 44)
+    grids = spark.read.parquet(str(tmp_path / "batches/sequences"))
+    assert rows_of(grids.groupBy("batch").count()) == [(0, 8), (1, 8), (2, 8), (3, 6)]
+    assert {(r.seq_len, len(r.ages)) for r in grids.collect()} == {(16, 16)}
+    with pytest.raises(FileExistsError):
+        training.run_batches(
+            spark, out["sequences"], str(tmp_path / "batches"), entries=coded["entries"], vocab_size=2, closure=coded["closure"], batch_size=8)
+
     # Without the column, events are numbered by what they hold; the timelines have the same shape, twice alike.
     bare = str(tmp_path / "bare")
     spark.read.parquet(data).drop("ordinal").write.parquet(bare)

@@ -154,45 +154,35 @@ def pack_batches(
 ) -> PackedBatches:
     """Pack sequences, ``batch_size`` to a batch in order of id, padded to a power of two.
 
-    Without an ``expansion`` there are no pairs.
+    Sequences are gathered once, by batch, and written; rows, pairs and the places of labels are all read off
+    that. Without an ``expansion`` there are no pairs. ``check`` refuses empty input and labels of other sequences.
     """
+    held = cut_lineage(_gathered(sequences, batch_size))
+    shape = held.select("sequence_id", "batch", "row", "seq_len")
     if check:
-        _require_packable(sequences, placed)
-    batch = floor_div(F.col("sequence_id"), batch_size)
-    # Per sequence, never more than its length of positions.
-    grouped = sequences.groupBy("sequence_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", "age", "normed_age"))).alias("_cells"),
-        F.max("position").alias("_last"),
-    ).withColumn("batch", batch)
-
-    in_batch = Window.partitionBy("batch")
-    shaped = (
-        grouped.withColumn("row", (F.row_number().over(in_batch.orderBy("sequence_id")) - 1).cast("bigint"))
-        .withColumn("seq_len", next_power_of_two(F.max("_last").over(in_batch) + 1).cast("bigint"))
-    )
-    padding = F.col("seq_len").cast("int") - F.size("_cells")
+        _require_packable(shape, placed)
+    padding = F.col("seq_len").cast("int") - F.size("cells")
 
     def padded(values: Column, filler: Column) -> Column:
         return F.concat(values, F.array_repeat(filler, padding))
 
     zero = F.lit(0.0).cast("float")
-    grids = shaped.select(
+    grids = held.select(
         "batch",
         "row",
         "sequence_id",
         "seq_len",
-        padded(F.col("_cells.age"), zero).alias("ages"),
-        padded(F.col("_cells.normed_age"), zero).alias("normed_ages"),
-        padded(F.transform("_cells", lambda _: F.lit(True)), F.lit(False)).alias("valid_tokens"),
+        padded(F.col("cells.age"), zero).alias("ages"),
+        padded(F.col("cells.normed_age"), zero).alias("normed_ages"),
+        padded(F.transform("cells", lambda _: F.lit(True)), F.lit(False)).alias("valid_tokens"),
         F.array_repeat(F.lit(0).cast("bigint"), F.col("seq_len").cast("int")).alias("segment_ids"),
     )
-    shape = shaped.select("sequence_id", "batch", "row", "seq_len")
     flat = (F.col("row") * F.col("seq_len") + F.col("position")).alias("flat")
     pairs = None if expansion is None else (
-        sequences.select("sequence_id", "position", "index")
-        .join(shape, "sequence_id")
+        held.select("batch", "row", "seq_len", F.inline("cells"))
+        .select("batch", "index", flat)
         .join(small_side(expansion), "index")
-        .select("batch", "token", flat)
+        .select("batch", "token", "flat")
     )
     labels = placed.join(shape, "sequence_id").select(
         "batch", flat, F.col("boolean_value").cast("float").alias("label")
@@ -200,10 +190,36 @@ def pack_batches(
     return PackedBatches(grids, pairs, labels)
 
 
-def _require_packable(sequences: DataFrame, placed: DataFrame) -> None:
-    if sequences.isEmpty():
+def _gathered(sequences: DataFrame, batch_size: int) -> DataFrame:
+    """One row per sequence: ``batch, sequence_id, row, seq_len`` and its ``cells`` in order.
+
+    One shuffle, by batch, serves the grouping and both windows. A group holds no more than a sequence's length,
+    a window no more than a batch.
+    """
+    in_batch = Window.partitionBy("batch")
+    return (
+        sequences.select("sequence_id", "position", "age", "normed_age", "index")
+        .withColumn("batch", floor_div(F.col("sequence_id"), batch_size))
+        .repartition("batch")
+        .groupBy("batch", "sequence_id")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("position", "age", "normed_age", "index"))).alias("cells"),
+            F.max("position").alias("last"),
+        )
+        .select(
+            "batch",
+            "sequence_id",
+            (F.row_number().over(in_batch.orderBy("sequence_id")) - 1).cast("bigint").alias("row"),
+            next_power_of_two(F.max("last").over(in_batch) + 1).cast("bigint").alias("seq_len"),
+            "cells",
+        )
+    )
+
+
+def _require_packable(shape: DataFrame, placed: DataFrame) -> None:
+    if shape.isEmpty():
         raise ValueError("there is no sequence to pack")
-    foreign = placed.join(sequences.select("sequence_id").distinct(), "sequence_id", "left_anti")
+    foreign = placed.join(shape, "sequence_id", "left_anti")
     sample = [r[0] for r in foreign.select("sequence_id").distinct().limit(5).collect()]
     if sample:
         raise ValueError(f"labels name sequences that are not there, such as {sample}")

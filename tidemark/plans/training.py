@@ -201,3 +201,39 @@ def run_sequences(
     write_new(sequences.place_landmarks(written, landmarked), f"{dest}/labels")
     counts = written.agg(F.count(F.lit(1)), F.coalesce(F.max("sequence_id") + 1, F.lit(0))).first()
     return SequenceCounts(counts[0], spark.read.parquet(f"{dest}/labels").count(), counts[1])
+
+
+class BatchCounts(NamedTuple):
+    sequences: int
+    pairs: int
+    labels: int
+
+
+def run_batches(
+    spark: SparkSession,
+    built: str,
+    dest: str,
+    *,
+    entries: str,
+    vocab_size: int,
+    closure: str,
+    batch_size: int,
+) -> BatchCounts:
+    """Pack what ``run_sequences`` wrote under ``built``: ``sequences``, ``pairs`` and ``labels`` under ``dest``.
+
+    The sequences are gathered once for all three. Rows of ``pairs`` and ``labels`` lie in order of their batch.
+    """
+    require_absent(spark, dest)
+    cells = read_parquet(spark, f"{built}/sequences")
+    require_present(spark, f"{built}/labels")
+    placed = spark.read.parquet(f"{built}/labels")
+    vocabulary = concepts.load_vocabulary(read_parquet(spark, entries), vocab_size)
+    expansion = cut_lineage(tokens.ancestor_expansion(vocabulary, read_parquet(spark, closure)))
+    packed = sequences.pack_batches(cells, placed, expansion, batch_size)
+    counts = []
+    for name, part, order in (
+        ("sequences", packed.sequences, ("batch", "row")), ("pairs", packed.pairs, ("batch", "flat")), ("labels", packed.labels, ("batch", "flat")),
+    ):
+        write_new(part.repartitionByRange(*order).sortWithinPartitions(*order), f"{dest}/{name}")
+        counts.append(spark.read.parquet(f"{dest}/{name}").count())
+    return BatchCounts(*counts)
