@@ -1,13 +1,15 @@
 """Secrets, licences and personal data."""
 
+import random
 import re
+import time
 
 import pytest
 
 from tests.llm.conftest import awkward_texts
 from tidemark.llm.licences import DECLARED, KNOWN, find_licences, known_licences
 from tidemark.llm.pseudonyms import Feistel, luhn, pseudonymise, replace_personal_data
-from tidemark.llm.secrets import KINDS, find_secrets
+from tidemark.llm.secrets import KINDS, _endpoints, _weak, find_secrets
 
 KEY40 = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
 
@@ -42,6 +44,39 @@ def test_weak_parts_count_only_together(spark):
     assert names == {1: [], 2: ["access", "weak_key", "endpoint"], 3: ["access"], 4: [], 5: ["weak_key", "weak_key", "weak_id"]}
 
 
+def test_hosts_are_what_one_pattern_says():
+    """Against the plain pattern, which goes back over long runs; random strings of the parts that matter."""
+    plain = re.compile(rb"\bhttps?://[^\s\"'<>]+|\b(?:[a-z0-9-]+\.)+(?:internal|amazonaws\.com|local)\b")
+    pieces = [b"a", b"-", b".", b"..", b"X", b"_", b" ", b"internal", b"local", b"amazonaws.com", b".local", b"x.internal", b"https://", b"http", b"\xc3\xa9", b'"']
+    rng = random.Random(5)
+    for _ in range(20000):
+        text = b"".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12)))
+        assert _endpoints(text) == [m.span() for m in plain.finditer(text)], text
+
+
+@pytest.mark.parametrize("part", [b"a.", b"a-", b"a", b"local.", b"a..", b"X.a", b"http", b"internal-"])
+def test_long_runs_of_names_take_linear_time(part):
+    text = part * 300_000
+    begun = time.process_time()
+    _weak(text)
+    assert time.process_time() - begun < 10
+
+
+def test_parts_are_linked_by_what_lies_between_them(spark):
+    """A value of 700 characters right before an endpoint, and one with 301 characters between them."""
+    value = "token=" + "x" * 700
+    docs = spark.createDataFrame(
+        [(1, f"{value} https://a.b"), (2, f"https://a.b {value}"), (3, f"{value}{' ' * 300}https://a.b"), (4, f"{value}{' ' * 301}https://a.b"),
+         (5, f"https://a.b/{'y' * 2000} token=abcdef"), (6, f"https://h/{'y' * 900}/AKIA{'B2' * 8}/{'y' * 900}?secret=abcdefg")],
+        "doc_id long, text string",
+    )
+    names = {k: [KINDS[s[0]] for s in v[1]] for k, v in spans(docs).items()}
+    assert names == {
+        1: ["assign", "endpoint"], 2: ["endpoint", "assign"], 3: ["assign", "endpoint"], 4: ["assign"], 5: ["endpoint", "assign"],
+        6: ["endpoint", "access", "assign"],
+    }
+
+
 def test_awkward(awkward, no_documents):
     assert len(find_secrets(awkward).collect()) == len(awkward_texts())
     assert find_secrets(no_documents).collect() == []

@@ -2,8 +2,8 @@
 
 Strong patterns are reported wherever they match. Weak candidates (a bare key of 40 characters, an
 identifier in capitals, an endpoint) mean little alone. They are joined by interval within a document:
-a weak key is reported if an identifier, weak or strong, starts within ``scope`` characters, and a weak
-identifier or an endpoint if a key does. The join compares places in the same or the next stretch of
+a weak key is reported if no more than ``scope`` characters lie between it and an identifier, weak or strong, and a
+weak identifier or an endpoint if that holds of a key. The join compares what lies in the same or the next stretch of
 ``scope`` characters, so no document, however long or full of candidates, meets itself as a whole.
 """
 
@@ -35,7 +35,12 @@ WEAK_KEY = re.compile(
 )
 # An identifier: four capitals and twelve or more capitals and digits, with a digit, on its own.
 WEAK_ID = re.compile(rb"(?<![A-Za-z0-9])(?!AKIA)(?=[A-Z]*[0-9])[A-Z]{4}[A-Z0-9]{12,28}(?![A-Za-z0-9])")
-ENDPOINT = re.compile(rb"\bhttps?://[^\s\"'<>]+|\b(?:[a-z0-9-]+\.)+(?:internal|amazonaws\.com|local)\b")
+ADDRESS = re.compile(rb"\bhttps?://[^\s\"'<>]+")
+# A run of labels, matched once from its first character; what in it ends in a private domain is looked up after that,
+# so a run costs no more than its length.
+_LABELS = re.compile(rb"(?<![a-z0-9-])[a-z0-9-]++(?:\.[a-z0-9-]++)++")
+_DOMAIN = re.compile(rb"(?<=\.)(?:internal|amazonaws\.com|local)\b")
+_LABEL = re.compile(rb"\b[a-z0-9-]")
 
 _SPAN = "struct<kind:int,start:bigint,end:bigint>"
 
@@ -47,8 +52,29 @@ def _strong(text: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
+def _hosts(text: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Names of hosts in private domains: from a word's edge to the last such domain of a run of labels."""
+    for run in _LABELS.finditer(text, begin, end):
+        last = None
+        for last in _DOMAIN.finditer(text, run.start(), min(run.end() + 1, end)):
+            pass
+        first = last and _LABEL.search(text, run.start(), last.start() - 1)
+        if first:
+            yield first.start(), last.end()
+
+
+def _endpoints(text: bytes) -> list[tuple[int, int]]:
+    """Addresses, and between them hosts."""
+    found, place = [], 0
+    for m in ADDRESS.finditer(text):
+        found += [*_hosts(text, place, m.start()), m.span()]
+        place = m.end()
+    return [*found, *_hosts(text, place, len(text))]
+
+
 def _weak(text: bytes) -> list[tuple[int, int, int]]:
-    return [(kind, *m.span()) for kind, pattern in ((3, WEAK_KEY), (4, WEAK_ID), (5, ENDPOINT)) for m in pattern.finditer(text)]
+    found = [(kind, *m.span()) for kind, pattern in ((3, WEAK_KEY), (4, WEAK_ID)) for m in pattern.finditer(text)]
+    return found + [(5, *span) for span in _endpoints(text)]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,16 +118,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("doc", "th", "span.*")
         .distinct()
         .withColumn("key", F.col("kind").isin(0, 2, 3))
-        .withColumn("cell", F.floor(F.col("start") / scope))
+        .withColumn("cells", F.struct(F.floor(F.col("start") / scope).alias("first"), F.floor(F.col("end") / scope).alias("last")))
     )
     # Complementary parts only: a key and an identifier or endpoint.
-    left = parts.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    left = parts.withColumn("cell", F.explode(F.sequence(F.col("cells.first") - 1, F.col("cells.last") + 1)))
     others = (
-        parts.groupBy("doc", "th", "cell", "key")
+        parts.withColumn("cell", F.explode(F.sequence("cells.first", "cells.last")))
+        .groupBy("doc", "th", "cell", "key")
         .agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("others"))
         .withColumn("key", ~F.col("key"))
     )
-    near = F.expr(f"exists(others, o -> abs(o.start - start) <= {scope} and (kind <> 3 or o.kind <> 5))")
+    near = F.expr(f"exists(others, o -> greatest(o.start - end, start - o.end) <= {scope} and (kind <> 3 or o.kind <> 5))")
     linked = (
         left.filter(F.col("kind") >= 3)
         .join(others, ["doc", "th", "cell", "key"])
