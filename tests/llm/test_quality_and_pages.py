@@ -1,12 +1,14 @@
 """Rule statistics against plain counts, the forest on clear anomalies, and page extraction."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tests.llm.conftest import awkward_texts, made_up
-from tidemark.llm.html_text import extract_main_text, main_text
+from tidemark.llm.html_text import blocks_of, extract_main_text, main_text
 from tidemark.llm.quality import COUNTS, IsolationForest, judge_quality, threshold
 
 
@@ -75,6 +77,24 @@ def test_article_mark_is_no_verdict():
     assert main_text(PAGE.format(main="<article><p>Short.</p></article>", comment=COMMENT)) == "Short."
 
 
+@pytest.mark.parametrize("page", [
+    "<div>" * 60_000 + "</span>" * 60_000, "<object>" * 60_000, "<script>" + "</script" * 60_000, "<head>" * 60_000, "<head>" + "</head" * 60_000,
+])
+def test_thousands_of_unclosed_tags_take_linear_time(page):
+    begun = time.process_time()
+    main_text(page)
+    assert time.process_time() - begun < 10
+
+
+def test_ends_of_raw_elements():
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts("a<title>b</title >c") == ["a", "c"]
+    assert texts("a<object>b<object>c</p>d") == ["abc", "d"]
+    assert texts("a<script>b</script") == ["a"]
+    assert texts("<head>a<body>b") == texts("<head>a</head>b") == ["b"]
+    assert texts("<title>a</title") == ["a"]
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article>{PROSE}</article>", "q"), (2, None, None, "q"), (2, None, None, "q"), (None, "v", "", "q")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -96,10 +97,25 @@ def _signs(attributes: str, article: bool) -> tuple[bool, bool]:
     return bad, good
 
 
+def _end_of_raw(page: str, tag: str, place: int) -> int | None:
+    """Where the element ends whose content begins at ``place``: after its end tag, a head also before the body."""
+    at = re.compile(rf"</{tag}\b" if tag != "head" else r"</head\b|<body\b", re.I).search(page, place)
+    if at and at[0][1] == "/":
+        end = page.find(">", at.end())
+        if end >= 0:
+            return end + 1
+        # No tag is closed from here on, but a body may begin.
+        at = re.compile(r"<body\b", re.I).search(page, at.end()) if tag == "head" else None
+    return at.start() if at else None
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, white space and character references resolved."""
     out: list[Block] = []
     open_tags: list[tuple[str, bool, bool]] = []
+    # How many of each are open, and raw elements that no end tag follows any more.
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()
     parts: list[str] = []
     bad = article = 0
     links = linked = 0
@@ -129,13 +145,15 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in RAW_TAGS and not m[1]:
             # All up to the end tag belongs to the element; without one, a head ends at the body.
-            stop = re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, place)
-            if stop:
+            stop = None if tag in endless else _end_of_raw(page, tag, place)
+            if stop is not None:
                 close()
-                place = stop.end()
+                place = stop
             elif tag in ("script", "style", "textarea"):
                 close()
                 place = len(page)
+            else:
+                endless.add(tag)
             continue
         if tag in BLOCK_TAGS:
             close()
@@ -154,15 +172,18 @@ def blocks_of(page: str) -> list[Block]:
                 # These end by themselves where the next one begins.
                 while open_tags and open_tags[-1][0] == tag:
                     _, b, a = open_tags.pop()
+                    opened[tag] -= 1
                     bad -= b
                     article -= a
             open_tags.append((tag, marked, good))
+            opened[tag] += 1
             bad += marked
             article += good
             links += tag == "a"
-        elif any(t == tag for t, _, _ in open_tags):
+        elif opened[tag]:
             while open_tags:
                 t, b, a = open_tags.pop()
+                opened[t] -= 1
                 bad -= b
                 article -= a
                 links -= t == "a"
