@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -82,6 +83,23 @@ def test_one_row_per_row(spark, given, name, table):
     assert [r[0] for r in answers(spark, name)] == sorted(r[0] for r in given(table, key))
 
 
+def test_stages_keep_columns_that_clash_with_their_own(spark, tmp_path):
+    """Documents with columns named like those the stages work with: each comes out with the values it went in with."""
+    names = ["doc", "th", "kept_text", "row", "fp", "n_removed", "dotted.name"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.staged(stage(spark, docs, SF_DIR))
+        assert docs.columns == columns
+        assert docs.count() > 0
+        for name in names:
+            assert docs.filter(~F.col(f"`{name}`").eqNullSafe(F.concat(F.lit(name), "doc_id"))).isEmpty()
+    plain = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain = corpus_pipeline.staged(stage(spark, plain, SF_DIR))
+    assert sorted(map(tuple, docs.select("doc_id", "text").collect())) == sorted(map(tuple, plain.select("doc_id", "text").collect()))
+
+
 def test_pipeline(spark, given):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     ids = {r[0] for r in given("documents", "doc_id")}
