@@ -3,10 +3,12 @@
 import re
 import zlib
 from hashlib import sha256
+from itertools import combinations
 from pathlib import Path
 
 import pyarrow.dataset as ds
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -16,6 +18,7 @@ from tests.llm.test_passages import hits_by_hand, kept_by_hand
 from tidemark.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="the given tables are not here")
 
 
@@ -56,6 +59,46 @@ def test_op2(spark, given):
     assert answers(spark, "op2_substring_dedup") == sorted(want)
 
 
+def test_op3_counts(spark, given):
+    """The base columns of every document; the verdict keeps nothing that fails the base rules."""
+    want = []
+    for i, t in given("documents", "doc_id", "text"):
+        words, lines, seen, windows = WORD.findall(t), t.split("\n"), set(), {}
+        repeated = 0
+        for line in lines:
+            repeated += bool(WORD.search(line)) and line in seen
+            seen.add(line)
+        for w in range(len(words) - 7):
+            windows.setdefault(tuple(words[w:w + 8]), []).append(w)
+        covered = {at + j for places in windows.values() if len(places) > 1 for at in places for j in range(8)}
+        failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+        want.append((i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), repeated, len(covered), failed))
+    got = answers(spark, "op3_quality_rules")
+    assert [r[:7] for r in got] == sorted(want)
+    assert not any(failed and kept for *_, failed, kept, _ in got)
+
+
+def test_op5(spark, given):
+    """Fingerprints of all documents from their definition, all pairs of them compared."""
+    prints = {}
+    for i, t in given("documents", "doc_id", "text"):
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        shingles = [" ".join(words[w:w + 3]) for w in range(max(len(words) - 2, min(len(words), 1)))]
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    links = [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    least = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    assert links
+    assert answers(spark, "op5_simhash_near_dedup") == sorted((i, f"{fp:016x}", least[i]) for i, fp in prints.items())
+
+
 def test_op4(spark, given):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     want = []
