@@ -7,7 +7,7 @@ import time
 import pytest
 
 from tests.llm.conftest import awkward_texts
-from tidemark.llm.licences import DECLARED, KNOWN, find_licences, known_licences
+from tidemark.llm.licences import DECLARED, KNOWN, canonical, find_licences, known_licences, runs_of_lines
 from tidemark.llm.pseudonyms import Feistel, luhn, pseudonymise, replace_personal_data
 from tidemark.llm.secrets import KINDS, _endpoints, _weak, find_secrets
 
@@ -88,7 +88,7 @@ def test_licences(spark, awkward, no_documents):
     known = known_licences(spark)
     docs = spark.createDataFrame(
         [(1, "Copyright (c) 2020 Someone\n\n" + KNOWN["MIT"].upper().replace(",", " ;")), (2, "text\nLicensed under CC BY-NC 4.0.\nmore"),
-         (3, "before\n\n" + KNOWN["ISC"].replace("merchantability", "merchantibility") + "\n\nafter"), (4, "Not licensed under the Apache."),
+         (3, "before\n\n" + KNOWN["ISC"].replace("MERCHANTABILITY", "MERCHANTIBILITY") + "\n\nafter"), (4, "Not licensed under the Apache."),
          (5, None), (6, ""), (7, "Released under the MIT Licence."), (8, KNOWN["MIT"] + " and more")],
         "doc_id long, text string",
     )
@@ -101,6 +101,68 @@ def test_licences(spark, awkward, no_documents):
     assert len(find_licences(awkward, known).collect()) == len(awkward_texts())
     assert find_licences(no_documents, known).collect() == []
     assert {len(r.licences) for r in find_licences(docs, known.filter("false")).collect()} == {0}
+    assert {len(r.licences) for r in find_licences(docs, spark.createDataFrame([(None, "x"), ("y", None), ("z", " ")], known.schema)).collect()} == {0}
+
+
+def wrapped(text, width):
+    lines, line = [], ""
+    for word in text.split():
+        if line and len(line) + 1 + len(word) > width:
+            lines.append(line)
+            line = word
+        else:
+            line = f"{line} {word}" if line else word
+    return "\n".join([*lines, line])
+
+
+@pytest.mark.parametrize("width", [30, 61, 80])
+def test_licence_files_as_they_come(spark, width):
+    """Titles, paragraphs, any width of line (some begin with "copyright notice"), comment marks, README files."""
+    cut = KNOWN["MIT"].index("The above"), KNOWN["MIT"].index("THE SOFTWARE IS")
+    parts = [KNOWN["MIT"][: cut[0]], KNOWN["MIT"][cut[0] : cut[1]], KNOWN["MIT"][cut[1] :]]
+    body = "\n\n".join(wrapped(p, width) for p in parts)
+    file = f"MIT License\n\nCopyright (c) 2021 Some Body\n\n{body}\n"
+    bsd = "\n\n".join("\n".join(wrapped(p, width).split("\n")) for p in re.split(r"\n(?=\d\.|THIS)", KNOWN["BSD-3-Clause"]))
+    texts = [
+        file, f"# Tool\n\nUse it.\n\n## License\n\n{body}\n\nThanks.", "\n".join(f" * {x}" for x in file.split("\n")),
+        f"BSD 3-Clause License\n\nCopyright 2019, Some Body\nAll rights reserved.\n\n{bsd}", file.replace("sublicense", "sublet"),
+        f"{body}\n\n{bsd}", f"x\n{wrapped(KNOWN['Unlicense'], width)}", body.replace("NONINFRINGEMENT", "NON-INFRINGEMENT"),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.whole, r.licences) for r in find_licences(docs, known_licences(spark)).collect()}
+    mit, both = ["MIT"], ["BSD-3-Clause", "MIT"]
+    assert got == {
+        0: (mit, mit), 1: ([], mit), 2: (mit, mit), 3: (both[:1], both[:1]), 4: ([], []), 5: ([], both), 6: ([], ["Unlicense"]), 7: (mit, mit),
+    }
+
+
+def test_licences_against_all_runs_of_lines(spark):
+    """Every run of whole lines, put in canonical form and looked up."""
+    pick = random.Random(12)
+    known = {"one": "a b c", "two": "b c", "three": "c 1.5 a b c a", "four": "Copyright notice b", "five": "b\nc"}
+    pieces = ["a", "B", "c", "c 1.5", "a b", "", "Copyright 2020 a", "copyright", "notice b", "2. b", "(c) a", "c.", "all rights reserved.", "b c"]
+    texts = ["\n".join(pick.choices(pieces, k=pick.randint(0, 12))) for _ in range(300)]
+    forms: dict = {}
+    for name, text in known.items():
+        forms.setdefault(canonical(text), set()).add(name)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(list(known.items()), "licence string, text string")
+    got = {r.doc_id: (set(r.whole), set(r.licences)) for r in find_licences(docs, table).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        runs = {canonical("\n".join(lines[a:b])) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1)}
+        want = set().union(*(forms.get(r, set()) for r in runs))
+        found += len(want)
+        assert got[i] == (forms.get(canonical(text), set()), want)
+    assert found > 100
+
+
+def test_licence_runs_in_long_texts():
+    began = time.process_time()
+    for text in ("a " * 1_000_000, "a\n" * 300_000, "*" * 1_000_000, " " * 1_000_000, "copyright " * 100_000, "\n" * 1_000_000):
+        runs_of_lines(text, {i: [1, 2, 150] for i in range(4096)})
+    assert time.process_time() - began < 30
 
 
 @pytest.mark.parametrize("size", [1, 2, 7, 1000, 36525])
