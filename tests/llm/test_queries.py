@@ -3,6 +3,7 @@
 import re
 import zlib
 from hashlib import sha256
+from html.parser import HTMLParser
 from itertools import combinations
 from pathlib import Path
 
@@ -15,6 +16,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 import public_tokenizers
 from tests.llm.test_passages import hits_by_hand, kept_by_hand
+from tidemark.llm.licences import canonical, known_licences
+from tidemark.llm.pseudonyms import replace_personal_data
 from tidemark.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -117,6 +120,82 @@ def test_op6(spark, given):
     assert answers(spark, "op6_benchmark_decontamination") == sorted(want)
 
 
+def test_op7(spark, given):
+    """Every run of whole lines of every document, put in canonical form and looked up."""
+    forms: dict = {}
+    for licence, text in known_licences(spark).collect():
+        forms.setdefault(tuple(canonical(text).split()), set()).add(licence)
+    longest = max(map(len, forms))
+    want = []
+    for i, t in given("documents", "doc_id", "text"):
+        lines = [x for x in (canonical(line).split() for line in (t or "").split("\n")) if x]
+        found: set = set()
+        for a in range(len(lines)):
+            run: list = []
+            for line in lines[a:]:
+                run += line
+                if len(run) > longest:
+                    break
+                found |= forms.get(tuple(run), set())
+        whole = forms.get(tuple(w for line in lines for w in line), set())
+        want.append((i, ",".join(sorted(whole)), ",".join(sorted(found)), len(found)))
+    assert any(n for *_, n in want)
+    assert answers(spark, "op7_license_scan") == sorted(want)
+
+
+def test_op8(spark, given):
+    """Only what the spans name changes, and the same key undoes it, on every document."""
+    texts = dict(given("documents", "doc_id", "text"))
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    new = replace_personal_data(docs, b"a key").select("doc_id", "text", "spans")
+    rows = new.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and any(r.spans for r in rows)
+    for r in rows:
+        text, at, form = texts[r.doc_id], 0, ""
+        for span in sorted(r.spans, key=lambda x: x.start):
+            # The parts of an address are numbers up to 255, of any length; all else keeps its length.
+            value = r"\d+(?:\.\d+){3}" if span.kind == "ip" else f".{{{span.end - span.start}}}"
+            form += re.escape(text[at:span.start]) + value
+            at = span.end
+        assert re.fullmatch(form + re.escape(text[at:]), r.text, re.S)
+    back = replace_personal_data(new.select("doc_id", "text"), b"a key", back=True)
+    assert {r.doc_id: r.text for r in back.collect()} == texts
+
+
+class Article(HTMLParser):
+    """The text inside <article>, with a blank where a block or line ends. The given pages mark nothing else in it."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.inside, self.found = False, []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.gap(tag)
+
+    def handle_endtag(self, tag):
+        self.gap(tag)
+        self.inside &= tag != "article"
+
+    def gap(self, tag):
+        if tag not in ("b", "i", "em", "strong", "a", "span"):
+            self.found.append(" ")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.found.append(data)
+
+
+def test_op10(spark, given):
+    want = []
+    for i, url, html in given("pages", "page_id", "url", "html"):
+        text = " ".join("".join(Article(html or "").found).split())
+        want.append((i, url, text, len(text)))
+    assert answers(spark, "op10_html_extraction") == sorted(want)
+
+
 @pytest.mark.parametrize("name,table", [
     ("op3_quality_rules", "documents"), ("op5_simhash_near_dedup", "documents"), ("op7_license_scan", "documents"),
     ("op8_pii_pseudonyms", "documents"), ("op9_line_dedup", "documents"), ("op10_html_extraction", "pages"),
