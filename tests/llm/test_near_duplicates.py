@@ -212,3 +212,18 @@ def test_documents_alike_by_shingles(spark):
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, width=5, similarity=0.8).collect()}
     assert len(links) > 20 and got == want
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, width=5).collect()} != want
+
+
+def test_pairs_within_one_template(spark):
+    """Texts of one template, so that each key is held by a crowd; each has one partner with a word changed."""
+    pick = random.Random(15)
+    template = made_up(900, 200, 5000)
+    texts = []
+    for i in range(400):
+        own = made_up(1000 + i, 100, 5000).split()
+        texts.append(f"{template} {' '.join(own)}")
+        own[pick.randrange(100)] = "changed"
+        texts.append(f"{template} {' '.join(own)}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, width=5, similarity=0.8).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
