@@ -150,11 +150,13 @@ def bin_faults(spark, sf_dir):
         F.count(F.lit(1)).alias("n"),
     ).filter("n > 2")
     code = F.concat("event_type", F.lit("/"), "user_id").alias("code")
-    lower = ranges.select(code, F.col("lo").alias("val_start"), F.col("mid").alias("val_end"), F.lit(0).alias("index"))
-    upper = ranges.select(
-        code, (F.col("mid") + F.col("n") % 2).alias("val_start"), (F.col("hi") + 1).alias("val_end"), F.lit(1).alias("index")
+    # Both bins come from one row: a mean worked out twice may be rounded to either side, as the order of its sum has it.
+    lower = F.struct(F.col("lo").alias("val_start"), F.col("mid").alias("val_end"), F.lit(0).alias("index"))
+    upper = F.struct(
+        (F.col("mid") + F.col("n") % 2).alias("val_start"), (F.col("hi") + 1).alias("val_end"), F.lit(1).alias("index")
     )
-    return concepts.bin_faults(lower.unionByName(upper)).select(
+    bins = ranges.select(code, F.inline(F.array(lower, upper)))
+    return concepts.bin_faults(bins).select(
         "code", "val_start", "val_end", "next_start"
     )
 
