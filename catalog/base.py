@@ -202,6 +202,11 @@ urine_rate AS (
   FROM windowed)
 """
 
+# As the operator has it: volumes to six decimals, whatever the order of their sum, and no rate of weight zero.
+EXACT_URINE_RATE = URINE_RATE.replace("sum(volume) OVER w AS total", "round(sum(volume) OVER w, 6) + 0.0 AS total").replace(
+    "total / weight /", "total / nullif(weight, 0) /"
+)
+
 
 # ---- Coded events ------------------------------------------------------------------------
 # The same users with codes: visits with their end, births, deaths (users whose last event is a

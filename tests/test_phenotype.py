@@ -36,6 +36,12 @@ def test_window_is_closed_on_both_ends_and_drops_older_rows(frame):
     assert got["s", hours(7)] == (pytest.approx(60 / 60 / 6), 6.0, 2)
 
 
+def test_volumes_that_cancel_out_are_zero(frame):
+    got = phenotype.urine_rate(frame(URINE, weight((0, 10))), frame(URINE, urine((0, 0.3), (3, -0.1), (6, -0.2)))).withColumnRenamed("subject_id", "patient_id")
+    assert {r["charttime"]: r["rate"] for r in got.collect()}[hours(6)] == 0.0
+    assert rows_of(phenotype.urine_onset(got), "uo_time") == [(hours(6),)]
+
+
 def test_no_weight_zero_weight_and_negative_rate(frame):
     got = rates(frame, weight((0, 0), hadm="z") + weight((0, 60), hadm="n"),
                 urine((0, 1), (1, 1)) + urine((0, 1), (1, 1), stay="z", hadm="z") + urine((0, 1), (1, -121), stay="n", hadm="n"))

@@ -22,7 +22,8 @@ def urine_rate(
 
     The weight is the admission's latest at the time, or for earlier rows the next one that a
     urine row got. The span is the observed one: a window holding a single moment has no rate,
-    and neither has a row without weight. A rate may be negative.
+    and neither has a row without weight or of weight zero. A rate may be negative. The volume of a window
+    counts to six decimals, so that volumes which cancel out are zero in whatever order they were added.
     """
     weighings = weights.select("subject_id", "hadm_id", "charttime", col("valuenum").alias("weight"))
     # One look at the admissions serves both steps of the alignment.
@@ -52,7 +53,7 @@ def urine_rate(
         closed="both",
         rows_per_block=rows_per_block,
     ).withColumn("window_hours", hours_between("_start", "charttime"))
-    per_hour = F.try_divide(F.try_divide(F.col("_volume"), F.col("weight")), F.col("window_hours"))
+    per_hour = F.try_divide(F.try_divide(F.round("_volume", 6), F.col("weight")), F.col("window_hours"))
     return windowed.select(
         "subject_id",
         "hadm_id",
