@@ -28,12 +28,16 @@ def closure(spark, sf_dir):
     )
     world = F.lit("WORLD")
 
+    def chains(df, code, *above):
+        chain = F.array_distinct(F.array(F.col(code), *above, world))
+        return df.select(F.col(code).alias("code"), F.explode(chain).alias("ancestor"))
+
     def pairs(df, code, *above):
-        chain = F.array(F.col(code), *above, world)
-        return df.select(F.col(code).alias("code"), F.explode(chain).alias("ancestor")).distinct()
+        return chains(df, code, *above).distinct()
 
     return (
-        pairs(customer.join(F.broadcast(nation), "nation"), "code", F.col("nation"), F.col("region"), F.col("segment"))
+        # A customer has one row. Looking for repeats would hold every pair of a file in one task.
+        chains(customer.join(F.broadcast(nation), "nation"), "code", F.col("nation"), F.col("region"), F.col("segment"))
         .unionByName(pairs(nation, "nation", F.col("region")))
         .unionByName(pairs(nation, "region"))
         .unionByName(pairs(customer, "segment"))
