@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import awkward_texts, made_up
 from tidemark.llm.components import connected_components
+from tidemark.llm import line_dedup
 from tidemark.llm.line_dedup import _within, find_repeated_lines
 from tidemark.llm.simhash import links_within_two_bits, near_duplicates
 
@@ -181,6 +182,36 @@ def test_crowds_of_lines_of_the_same_words(spark):
     assert [k for k, n in sorted(got.items()) if n] == list(range(1000, 1150))
 
 
+def test_crowds_find_every_partner(spark):
+    """Orders of one set of words share every choice; each has one partner, four pairs of neighbours exchanged."""
+    pick = random.Random(21)
+    words = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)]
+    rows = []
+    for i in range(200):
+        x = pick.sample(words, 40)
+        y = list(x)
+        for at in (4, 13, 22, 31):
+            y[at], y[at + 1] = y[at + 1], y[at]
+        rows += [(i, " ".join(x)), (1000 + i, " ".join(y))]
+    got = {r.doc_id: r.n_removed for r in find_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k, n in sorted(got.items()) if n] == list(range(1000, 1200))
+
+
+def test_tiles_meet_in_every_pair(spark, monkeypatch):
+    """All pairs of lines that share a key, across roots, with few lines to a tile."""
+    monkeypatch.setattr(line_dedup, "TILE", 7)
+    pick = random.Random(22)
+    rows = [(k, 28, pick.getrandbits(32), n, pick.randint(80, 120), n // 3) for k in range(3) for n in range(60)]
+    want = {
+        (x[3], y[3]) for x in rows for y in rows
+        if x[0] == y[0] and x[3] < y[3] and x[5] != y[5] and (x[2] ^ y[2]).bit_count() <= 14
+        and abs(x[4] - y[4]) <= max(x[4], y[4]) * 0.2 + 1e-9
+    }
+    lines = spark.createDataFrame([(k, 14, *r) for k, _, *r in rows], "key long, bits int, fp long, node long, length int, root long")
+    got = [tuple(r) for r in line_dedup._crowds(lines, 0.8).distinct().collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
+
+
 def test_crowds_lose_no_line(spark):
     """All of 60 lines that differ in one or two of 400 words are one group."""
     words = made_up(3, 400).split()
