@@ -1,6 +1,7 @@
 """Fingerprints, their links and components against all pairs; fuzzy lines."""
 
 import random
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -258,3 +259,38 @@ def test_pairs_within_one_template(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, width=5, similarity=0.8).collect()}
     assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_prints(spark):
+    """SimHash and minima of distinct words against plain versions, with more words than a byte counts."""
+    pick = random.Random(31)
+    rows = [(i, [f"w{x}" for x in pick.sample(range(5000), n)]) for i, n in enumerate([1, 2, 5, 64, 127, 128, 300, 3000])]
+    rows[3:3] = [(100, ["é", "ß", "日本"])]
+    frame = spark.createDataFrame(rows, "row long, features array<string>")
+    got = {r.row: (r.fp & ((1 << 64) - 1), r.minima) for r in line_dedup._prints(frame, ["row"]).collect()}
+    seeds = [line_dedup._seed(i) for i in range(line_dedup.MINIMA)]
+    for row, words in rows:
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+        signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+        fp = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert got[row] == (fp, [min(h ^ s for h in signed) & ((1 << 31) - 1) for s in seeds])
+
+
+def test_pairs_are_compared_in_rounds(spark, monkeypatch):
+    """Rounds alter nothing, and what a step shuffled or staged for itself is gone when it ends."""
+    pick = random.Random(32)
+    words = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)]
+    rows = []
+    for i in range(18):
+        x = pick.sample(words, 20)
+        rows += [(i, " ".join(x)), (1000 + i, " ".join([*x[:-1], f"other{i}"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, r.n_removed) for r in find_repeated_lines(docs).collect())
+    written, freed = [], []
+    monkeypatch.setattr(line_dedup, "ROUND", 1)
+    stage, free = line_dedup.staged, line_dedup.unstaged
+    monkeypatch.setattr(line_dedup, "staged", lambda df, *more: written.append(1 + len(more)) or stage(df, *more))
+    monkeypatch.setattr(line_dedup, "unstaged", lambda *tables: freed.extend(f for t in tables for f in t.inputFiles()) or free(*tables))
+    assert sorted((r.doc_id, r.n_removed) for r in find_repeated_lines(docs).collect()) == want
+    assert sum(n for _, n in want) >= 18 and max(written) > 1
+    assert freed and not [f for f in freed if Path(f.removeprefix("file:")).exists()]
