@@ -36,6 +36,14 @@ def test_rates_on_edges(spark, tmp_path, name):
     assert compared(spark, tmp_path, name, RATES) is None
 
 
+@pytest.mark.parametrize("name", ["onset_two_arms", "onset_gated", "diagnosis_events_appended", "detector_confusion", "detector_metrics"])
+def test_onsets_on_edges(spark, tmp_path, name):
+    """Their SQL adds the volumes of a window from the earliest on and does not round them."""
+    errors = [(u, h, "error", 5.0 + u) for u in range(1, 60) for h in (0, 2)]
+    late = [(u, h + 60, kind, v) for u, h, kind, v in RATES]
+    assert compared(spark, tmp_path, name, errors + [(u, 0, "error", 30.0) for u in (70, 71, 72)] + late) is None
+
+
 def test_bins_of_a_group_share_one_mean(spark, tmp_path):
     values = [0.01, 0.02, 0.02, 0.03, 0.03, 0.03, 0.03, 0.05]
     events = [(u, 0, "view", v + u) for u in range(20) for v in values[: 8 - u % 2]]

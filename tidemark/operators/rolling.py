@@ -77,6 +77,20 @@ def trailing(
     return found.select(*[col(c) for c in df.columns if c not in result], *[v.alias(n) for n, v in result.items()])
 
 
+def sum_in_order(df: DataFrame, keys: Sequence[str], at: str, width: str, name: str, value: Column) -> DataFrame:
+    """Add the plain sum of doubles over ``[t - width, t]``, added from the earliest row on as SQL engines do.
+
+    ``trailing`` sums exactly, which may differ from this in the last bits. The rows of a window are added anew
+    for each row, so it is for windows of few rows. A key is spread over its slots; the rows of the slot before go along.
+    """
+    span = duration_micros(width)
+    timed = df.withColumns({"_us": micros(at), "_value": value}).withColumn("_later", F.explode(F.array(F.lit(0), F.lit(1))))
+    slotted = timed.withColumn("_slot", floor_div(F.col("_us"), span) + F.col("_later"))
+    window = Window.partitionBy(*[col(k) for k in keys], "_slot").orderBy("_us").rangeBetween(-span, Window.currentRow)
+    summed = slotted.withColumn(name, F.sum("_value").over(window)).filter("_later = 0")
+    return summed.drop("_us", "_value", "_later", "_slot")
+
+
 def _finite(value: Column) -> Column:
     return F.abs(value) < F.lit(math.inf)
 

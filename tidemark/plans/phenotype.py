@@ -11,19 +11,20 @@ from tidemark.operators import scoring
 from tidemark.operators.align import asof_backfill
 from tidemark.operators.blocks import heavy_splits
 from tidemark.operators.clean import net_urine, weights_in_kilograms
-from tidemark.operators.rolling import trailing
+from tidemark.operators.rolling import sum_in_order, trailing
 from tidemark.session import cut_lineage
 
 
 def urine_rate(
-    weights: DataFrame, urine: DataFrame, rows_per_block: int | None = None
+    weights: DataFrame, urine: DataFrame, rows_per_block: int | None = None, rounded: bool = True
 ) -> DataFrame:
     """Urine output in mL/kg/h over the trailing six hours of each stay.
 
     The weight is the admission's latest at the time, or for earlier rows the next one that a
     urine row got. The span is the observed one: a window holding a single moment has no rate,
     and neither has a row without weight or of weight zero. A rate may be negative. The volume of a window
-    counts to six decimals, so that volumes which cancel out are zero in whatever order they were added.
+    counts to six decimals, so that volumes which cancel out are zero in whatever order they were added; with
+    ``rounded`` false it is the plain sum in the order of time.
     """
     weighings = weights.select("subject_id", "hadm_id", "charttime", col("valuenum").alias("weight"))
     # One look at the admissions serves both steps of the alignment.
@@ -40,20 +41,22 @@ def urine_rate(
         rows_per_block=rows_per_block,
         may_be_heavy=crowded,
     )
+    aggregates = {"_start": ("min", col("charttime")), "n_events": ("count", F.lit(1))}
+    if rounded:
+        aggregates["_volume"] = ("sum", col("valuenum"))
+    else:
+        weighed = sum_in_order(weighed, ["stay_id"], "charttime", fixed.URINE_WINDOW, "_volume", col("valuenum"))
     windowed = trailing(
         weighed,
         ["stay_id"],
         "charttime",
         fixed.URINE_WINDOW,
-        {
-            "_volume": ("sum", col("valuenum")),
-            "_start": ("min", col("charttime")),
-            "n_events": ("count", F.lit(1)),
-        },
+        aggregates,
         closed="both",
         rows_per_block=rows_per_block,
     ).withColumn("window_hours", hours_between("_start", "charttime"))
-    per_hour = F.try_divide(F.try_divide(F.round("_volume", 6), F.col("weight")), F.col("window_hours"))
+    volume = F.round("_volume", 6) if rounded else F.col("_volume")
+    per_hour = F.try_divide(F.try_divide(volume, F.col("weight")), F.col("window_hours"))
     return windowed.select(
         "subject_id",
         "hadm_id",
@@ -66,7 +69,7 @@ def urine_rate(
 
 
 def load_urine_rate(
-    weights: DataFrame, outputs: DataFrame, only_in: DataFrame | None = None
+    weights: DataFrame, outputs: DataFrame, only_in: DataFrame | None = None, rounded: bool = True
 ) -> DataFrame:
     """Urine rate from the two extracts, keyed by ``patient_id``.
 
@@ -74,6 +77,7 @@ def load_urine_rate(
         weights: the weight extract; ids may be numbers.
         outputs: the urine extract, its volume in ``value``.
         only_in: if given, keep only admissions that occur in this frame's ``hadm_id``.
+        rounded: see ``urine_rate``.
     """
     def text_ids(df: DataFrame) -> DataFrame:
         ids = ("subject_id", "hadm_id", "stay_id", "itemid")
@@ -82,6 +86,7 @@ def load_urine_rate(
     rate = urine_rate(
         weights_in_kilograms(text_ids(weights)),
         net_urine(text_ids(outputs).withColumnRenamed("value", "valuenum")),
+        rounded=rounded,
     ).withColumnRenamed("subject_id", "patient_id")
     if only_in is not None:
         rate = rate.join(only_in.select("hadm_id").distinct(), "hadm_id", "left_semi")
