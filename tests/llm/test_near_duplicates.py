@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import awkward_texts, made_up
 from tidemark.llm.components import connected_components
-from tidemark.llm import line_dedup
+from tidemark.llm import line_dedup, simhash
 from tidemark.llm.line_dedup import _within, find_repeated_lines
-from tidemark.llm.simhash import links_within_two_bits, near_duplicates
+from tidemark.llm.simhash import links_of_alike_sets, links_within_two_bits, near_duplicates
 
 
 def groups(nodes, links):
@@ -62,6 +62,15 @@ def test_links_connect_all_within_two_bits(spark, crowd):
     assert groups(signed, links) == groups(signed, true)
 
 
+def test_alike_sets_of_a_crowded_key_are_linked(spark, monkeypatch):
+    """A key that 100 texts share, each alike to one that 50 others of its size come before."""
+    monkeypatch.setattr(simhash, "TILE", 9)
+    rows = [(i, 1000 + i, [7], [1000 * (i % 50) + j for j in range(90)] + [10**6 + 10 * i + j for j in range(10)]) for i in range(100)]
+    each = spark.createDataFrame(rows, "th long, fp long, keys array<long>, shingles array<long>")
+    got = {tuple(sorted(r)) for r in links_of_alike_sets(each, 0.8).collect()}
+    assert got == {(1000 + i, 1050 + i) for i in range(50)}
+
+
 def test_documents(awkward):
     prints = []
     for key, text in awkward_texts():

@@ -21,16 +21,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, keyed, staged
+from tidemark.llm.common import NO_ID, keyed, sent_if_small, staged
 from tidemark.llm.components import connected_components
+from tidemark.llm.crowds import pairs_across_groups
 from tidemark.llm.words import BETWEEN_SPACES, U64, find_words, signed, slices
 
 GROUP = 16
 BITS = 2
 BANDS, ROWS = 20, 4
+TILE = 1000
+# So many pairs at least are compared in one round.
+ROUND = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,33 +140,67 @@ def links_within_two_bits(prints: DataFrame) -> DataFrame:
     return found.filter("a <> b").unionByName(stars).distinct()
 
 
+def _alike(pairs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
+    """Staged: the fingerprints ``a, b`` of the pairs of texts (``one, two``) whose sets of shingles are alike. Pairs are compared
+    in rounds, so that the sets on their way between tasks take no more disk than all sets do, however many pairs there are."""
+    rows = pairs.count()
+    wanted = pairs.select(F.explode(F.array("one", "two")).alias("th")).distinct()
+    sets = staged(each.join(sent_if_small(wanted, 32), "th", "left_semi").select("th", "fp", "shingles").dropDuplicates(["th"]))
+    rounds = -(-rows // max(each.count(), ROUND)) or 1
+    shared = F.size(F.array_intersect("x", "y"))
+
+    def compared(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("th").alias("one"), F.col("fp").alias("a"), F.col("shingles").alias("x")), "one").join(
+            sets.select(F.col("th").alias("two"), F.col("fp").alias("b"), F.col("shingles").alias("y")), "two"
+        )
+        return both.filter(shared >= (F.size("x") + F.size("y") - shared) * similarity - 1e-9).select("a", "b").distinct()
+
+    return staged(*[compared(pairs.filter(F.pmod(F.xxhash64("one", "two"), F.lit(rounds)) == at)) for at in range(rounds)])
+
+
 def links_of_alike_sets(each: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: fingerprints of texts (``th, fp, keys, shingles``) whose sets of shingles are alike.
+    """``a, b``: links between fingerprints that connect all texts (``th, fp, keys, shingles``) that share a key and whose sets of
+    shingles are alike.
 
-    Texts that share a key are compared with the next ``GROUP`` - 1 of it and with the first.
+    Texts that share a key are first compared with the next ``GROUP`` - 1 of it and with the first. Of a key that more
+    share, all pairs across the groups so found are compared after that, in tiles of about ``TILE`` by ``TILE`` texts.
     """
     texts = staged(each.select("th", "fp", F.size("shingles").alias("n"), "keys").dropDuplicates(["th"]))
+    held = staged(
+        texts.select("th", "fp", "n", F.posexplode("keys").alias("band", "part"))
+        .select("th", "fp", "n", F.xxhash64("band", "part").alias("key"))
+        .withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        .filter("shared > 1")
+    )
+
+    def may_link(one, other) -> Column:
+        size = F.least(one("n"), other("n")) >= F.greatest(one("n"), other("n")) * similarity - 1e-9
+        return (one("fp") != other("fp")) & size
+
+    def pairs(found: DataFrame) -> DataFrame:
+        return staged(found.select(F.least("node", "other_node").alias("one"), F.greatest("node", "other_node").alias("two")).distinct())
+
     order = Window.partitionBy("key").orderBy("n", "th")
     other = F.struct("th", "fp", "n")
     near = F.concat(
         F.collect_list(other).over(order.rowsBetween(1, GROUP - 1)),
         F.array(F.first(other).over(order.rowsBetween(Window.unboundedPreceding, 0))),
     )
-    pairs = (
-        texts.select("th", "fp", "n", F.posexplode("keys").alias("band", "part"))
-        .select("th", "fp", "n", F.xxhash64("band", "part").alias("key"))
-        .withColumn("others", near)
+    beside = (
+        held.withColumn("others", near)
         .select("th", "fp", "n", F.explode("others").alias("o"))
-        .filter((F.col("fp") != F.col("o.fp")) & (F.least("n", "o.n") >= F.greatest("n", "o.n") * similarity - 1e-9))
-        .select(F.least("th", "o.th").alias("one"), F.greatest("th", "o.th").alias("two"))
-        .distinct()
+        .filter(may_link(F.col, F.col("o").getField))
+        .select(F.col("th").alias("node"), F.col("o.th").alias("other_node"))
     )
-    sets = each.select("th", "fp", "shingles").dropDuplicates(["th"])
-    both = staged(pairs).join(sets.select(F.col("th").alias("one"), F.col("fp").alias("a"), F.col("shingles").alias("x")), "one").join(
-        sets.select(F.col("th").alias("two"), F.col("fp").alias("b"), F.col("shingles").alias("y")), "two"
+    links = _alike(pairs(beside), each, similarity)
+    roots = connected_components(links)
+    crowded = (
+        held.filter(F.col("shared") > GROUP)
+        .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+        .select("key", F.col("th").alias("node"), "fp", "n", F.coalesce("root", "fp").alias("root"))
     )
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= (F.size("x") + F.size("y") - shared) * similarity - 1e-9).select("a", "b").distinct()
+    across = pairs(pairs_across_groups(crowded, ["fp", "n"], may_link, TILE))
+    return links.unionByName(_alike(across, each, similarity)).distinct()
 
 
 def near_duplicates(
