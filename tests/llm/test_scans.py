@@ -4,12 +4,14 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import awkward_texts
+from tidemark.llm import pseudonyms, secrets
 from tidemark.llm.licences import DECLARED, KNOWN, canonical, find_licences, known_licences, runs_of_lines
 from tidemark.llm.pseudonyms import Feistel, luhn, pseudonymise, replace_personal_data
-from tidemark.llm.secrets import KINDS, _endpoints, _weak, find_secrets
+from tidemark.llm.secrets import KINDS, _endpoints, _strong, _weak, find_secrets
 
 KEY40 = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
 
@@ -44,6 +46,43 @@ def test_weak_parts_count_only_together(spark):
     assert names == {1: [], 2: ["access", "weak_key", "endpoint"], 3: ["access"], 4: [], 5: ["weak_key", "weak_key", "weak_id"]}
 
 
+class Unused:
+    def finditer(self, *_):
+        raise AssertionError("matched against a text that cannot hold it")
+
+
+def test_patterns_are_matched_only_where_they_can_be(monkeypatch):
+    text = "a password and a token of some.host.locally, deadbeef and HTTPS//, in plain words".encode()
+    want = (_strong(text), _weak(text))
+    for name in ("ASSIGN", "ACCESS", "HEX", "WEAK_KEY", "WEAK_ID", "ADDRESS", "_LABELS"):
+        monkeypatch.setattr(secrets, name, Unused())
+    text = text.replace(b".locally", b" locally")
+    assert want == ([], []) == (_strong(text), _weak(text))
+
+
+def test_what_is_looked_for_first_loses_nothing():
+    pick = random.Random(8)
+    parts = [
+        "password", "TOKEN", "Api_Key", ":", "=", " ", "'", "abcdef", "AKIA", "A1" * 9, "0a" * 12, "f" * 24, KEY40, "ABCDEFGHIJKL5678", "http://", "https://x",
+        "db.internal", ".local", "s3.amazonaws.com", "é", "\n",
+    ]
+    seen = set()
+    for _ in range(3000):
+        text = "".join(pick.choices(parts, k=pick.randrange(1, 9))).encode()
+        strong = [(0, *m.span()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 6]
+        strong += [(1, *m.span()) for m in secrets.ACCESS.finditer(text) if len(m[0]) >= 20]
+        strong += [(2, *m.span()) for m in secrets.HEX.finditer(text)]
+        weak = [(kind, *m.span()) for kind, pattern in ((3, secrets.WEAK_KEY), (4, secrets.WEAK_ID)) for m in pattern.finditer(text)]
+        place = 0
+        for m in secrets.ADDRESS.finditer(text):
+            weak += [*((5, *h) for h in secrets._hosts(text, place, m.start())), (5, *m.span())]
+            place = m.end()
+        weak += [(5, *h) for h in secrets._hosts(text, place, len(text))]
+        assert (_strong(text), _weak(text)) == (strong, weak)
+        seen |= {kind for kind, _, _ in strong + weak}
+    assert seen == set(range(6))
+
+
 def test_hosts_are_what_one_pattern_says():
     """Against the plain pattern, which goes back over long runs; random strings of the parts that matter."""
     plain = re.compile(rb"\bhttps?://[^\s\"'<>]+|\b(?:[a-z0-9-]+\.)+(?:internal|amazonaws\.com|local)\b")
@@ -188,6 +227,23 @@ def test_pseudonyms_keep_format_and_links():
     assert pseudonymise(text, Feistel(b"another"))[0] != new
 
 
+def test_only_texts_with_a_digit_or_an_address_are_matched(monkeypatch):
+    texts = ["plain é words", None, "", "mail ann.b@example.org now", "on 2024-02-29 at 10.0.0.1", "card 4111 1111 1111 1111", "a @ b", "x" * 50]
+    ids = list(range(len(texts)))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(ids), "text": pa.array(texts)})
+    f = Feistel(b"k")
+    want = [(i, *((None, []) if t is None else pseudonymise(t, f))) for i, t in zip(ids, texts)]
+    assert sum(bool(found) for _, _, found in want) == 3
+    seen = []
+    plain = pseudonyms.pseudonymise
+    monkeypatch.setattr(pseudonyms, "pseudonymise", lambda text, *more: seen.append(text) or plain(text, *more))
+    # A part of a batch, too.
+    for first in (0, 2):
+        got = [r for b in pseudonyms._replaced(b"k", False)(iter([batch.slice(first)])) for r in b.to_pylist()]
+        assert [(r["id"], r["text"], [tuple(s.values()) for s in r["spans"]]) for r in got] == want[first:]
+    assert set(seen) == set(texts[3:7])
+
+
 def test_what_fails_its_check_stays():
     for text in ("4111 1111 1111 1112", "999.1.1.1", "2025-13-40", "000-12-3456", "version 1.2.3", "12345678", "DE00 3704 0044 0532 0130 00"):
         assert pseudonymise(text, Feistel(b"k"))[0] == text
