@@ -15,6 +15,7 @@ from bisect import bisect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import keyed
@@ -199,11 +200,16 @@ KINDS: dict[str, tuple[re.Pattern, Callable]] = {
     "phone": (re.compile(r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z-])"), _phone),
 }
 
+# Every value has a digit or this sign of an address. Few texts have either; the others stay as they are.
+MAYBE = "[0-9@]"
+
 
 def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and the (kind, start, end) of what they replace in the given text."""
     taken: list[tuple[int, int, str, str]] = []
     for kind, (pattern, change) in KINDS.items():
+        if kind == "email" and "@" not in text:
+            continue
         for m in pattern.finditer(text):
             place = bisect(taken, (m.start(), m.end()))
             if any(s < m.end() and m.start() < e for s, e, _, _ in taken[max(0, place - 1):place + 1]):
@@ -226,13 +232,16 @@ def _replaced(key: bytes, back: bool):
         for batch in batches:
             for row in range(0, batch.num_rows, 64):
                 part = batch.slice(row, 64)
-                texts, spans = [], []
-                for text in part.column("text").to_pylist():
-                    new, found = (None, []) if text is None else pseudonymise(text, f, back)
-                    texts.append(new)
-                    spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
+                texts = part.column("text")
+                maybe = pc.fill_null(pc.match_substring_regex(texts, MAYBE), False)
+                changed = [pseudonymise(text, f, back) for text in texts.filter(maybe).to_pylist()]
+                new = pc.replace_with_mask(texts, maybe, pa.array([text for text, _ in changed], texts.type))
+                found = iter(changed)
+                spans = [
+                    [{"kind": k, "start": s, "end": e} for k, s, e in next(found)[1]] if some else [] for some in maybe.to_pylist()
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(texts, pa.string()), pa.array(spans, spans_type)], ["id", "text", "spans"]
+                    [part.column("id"), new.cast(pa.string()), pa.array(spans, spans_type)], ["id", "text", "spans"]
                 )
 
     return replace
