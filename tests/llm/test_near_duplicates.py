@@ -128,6 +128,24 @@ def fewest_edits(a, b):
     return row[-1]
 
 
+def test_lines_unlike_at_both_ends_and_in_length_are_compared_whole(spark):
+    pick = random.Random(9)
+    rows, unlike = [], 0
+    for _ in range(1200):
+        x = [pick.choice(["ab", "b", "aab", "ba", "é"]) for _ in range(pick.randrange(1, 7))]
+        y = list(x)
+        for _ in range(pick.randrange(4)):
+            y.insert(pick.choice((0, len(y))), pick.choice(["a", "bb", "ab"]))
+        if pick.random() < 0.5:
+            y[0], y[-1] = y[0] + "a", y[-1] + "b"
+        unlike += x[0] != y[0] and x[-1] != y[-1] and len(x) != len(y)
+        rows.append((" ".join(x), " ".join(y), pick.randrange(10)))
+    frame = spark.createDataFrame(rows, "x string, y string, k int").coalesce(2)
+    got = [(r.x, r.y, r.k, r.near) for r in frame.withColumn("near", line_dedup._similar(F.col("x"), F.col("y"), F.col("k"))).collect()]
+    assert got == [(x, y, k, fewest_edits(x, y) <= k) for x, y, k in rows]
+    assert 100 < unlike < 1100 and len({near for *_, near in got}) == 2
+
+
 def test_edits_within_a_limit(spark):
     pick = random.Random(3)
     rows = []
